@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, packing, sharding, urls
+from tessera.llm import bpe, langid, minhash, packing, sharding, urls, warc
 
 QUERIES = {
+    "op5_minhash": minhash.op5_minhash,
     "op4_sharding": sharding.op4_sharding,
     "op6_bpe": bpe.op6_bpe,
     "op7_packing": packing.op7_packing,
+    "op8_langid": langid.op8_langid,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
