@@ -170,7 +170,7 @@ def confirm_chunk(ids: list[int], sets: list[np.ndarray], num: int, den: int) ->
 
 
 def confirm(texts: DataFrame, edges: DataFrame, num: int, den: int, width: int = WORDS) -> DataFrame:
-    """Links (a, b) among candidates. texts: (id, data), ids unique; edges: (centre, member), distinct."""
+    """Links (a, b) among candidates. texts: (id, data); edges: (centre, member), distinct."""
     chunk = F.pmod(F.xxhash64("member", F.lit(3)), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).cast("int")
     sized = edges.join(edges.groupBy("centre").agg(F.count("*").alias("n")), "centre").select("centre", chunk.alias("chunk"), "member")
     want = sized.select(F.col("member").alias("id"), "centre", "chunk")
@@ -187,6 +187,9 @@ def confirm(texts: DataFrame, edges: DataFrame, num: int, den: int, width: int =
                 if (c, k) != key:
                     found += confirm_chunk(ids, sets, num, den)
                     key, ids, sets = (c, k), [], []
+                if ids and ids[-1] == i:  # rows that share an id: the set that is last in this order speaks for it
+                    sets[-1] = max(sets[-1], s, key=lambda x: (len(x), x.tobytes()))
+                    continue
                 ids.append(i)
                 sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
@@ -206,9 +209,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n
     stars = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("centre"))
     edges = stage(member.join(stars, "key").where("id != centre").select("centre", F.col("id").alias("member")).distinct(), "edges")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("data")).where("id is not null")
-    involved = edges.select(F.col("member").alias("id")).unionAll(edges.select(F.col("centre").alias("id"))).distinct()
-    # rows that share an id: the one whose set stands for the class is not known here, so the longest text speaks for the id
-    links = confirm(_unique(texts.join(involved, "id", "left_semi")), edges, num, den, width)
+    links = confirm(texts, edges, num, den, width)
     comp = components(links)
     equal = some.select("id", "s1", "s2", "n_shingles").join(classes.select("s1", "s2", "n_shingles", F.col("r.id").alias("rep")), ["s1", "s2", "n_shingles"]).select("id", "rep")
     label = equal.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
@@ -217,9 +218,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n
     return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _unique(texts: DataFrame) -> DataFrame:
-    return texts.groupBy("id").agg(F.max("data").alias("data"))
-
-
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
