@@ -175,7 +175,9 @@ def confirm(texts: DataFrame, edges: DataFrame, num: int, den: int, width: int =
     sized = edges.join(edges.groupBy("centre").agg(F.count("*").alias("n")), "centre").select("centre", chunk.alias("chunk"), "member")
     want = sized.select(F.col("member").alias("id"), "centre", "chunk")
     want = want.unionAll(sized.select(F.col("centre").alias("id"), "centre", "chunk").distinct())
-    rows = want.join(texts, "id").select("centre", "chunk", (F.col("id") != F.col("centre")).alias("other"), "id", "data")
+    # Always the shuffled plan: the list of candidates grows with the corpus, and a broadcast that fits small inputs only
+    # would make cost jump where it stops fitting.
+    rows = want.hint("merge").join(texts, "id").select("centre", "chunk", (F.col("id") != F.col("centre")).alias("other"), "id", "data")
     rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "other", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
