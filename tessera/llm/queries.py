@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, minhash, packing, sharding, urls, warc
+from tessera.llm import bpe, langid, minhash, packing, sharding, suffixes, urls, warc
 
 QUERIES = {
     "op5_minhash": minhash.op5_minhash,
+    "op3_suffix_array": suffixes.op3_suffix_array,
     "op4_sharding": sharding.op4_sharding,
     "op6_bpe": bpe.op6_bpe,
     "op7_packing": packing.op7_packing,
