@@ -26,8 +26,13 @@ from tessera.llm._common import read_table, small_batches, stage
 
 WIDTH = 2048
 END = 1
-CACHE = 400_000
-BUCKETS = 256
+CACHE = 1_000_000
+#: Rows of one bucket, about, and most buckets.
+BUCKET_ROWS = 200_000
+MAX_BUCKETS = 1024
+
+
+_TAIL = b".,;:!?"
 
 
 class WordCache(dict):
@@ -39,6 +44,28 @@ class WordCache(dict):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.word = self.tok.model.tokenize
+
+    def learn(self, new: set[bytes]) -> None:
+        """A word of ASCII letters is one pre-token, which the model takes as it is (in lower case); marks after it are another."""
+        pairs, rest = [], set()
+        for w in new:
+            core = w.rstrip(_TAIL)
+            if not core.isalpha():
+                rest.add(w)
+                continue
+            low, tail = core.lower(), w[len(core) :]
+            if low not in self:
+                self[low] = np.array([t.id for t in self.word(low.decode())], "<u4").tobytes()
+            if tail:
+                rest.add(tail)
+            if low != w:
+                pairs.append((w, low, tail))
+        rest = [w for w in rest if w not in self]
+        for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self[w] = np.array(e.ids, "<u4").tobytes()
+        for w, low, tail in pairs:
+            self[w] = self[low] + self[tail] if tail else self[low]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
@@ -48,9 +75,7 @@ class WordCache(dict):
                 if len(self) + len(new) > CACHE:
                     self.clear()
                     new = set().union(*split)
-                words = list(new)
-                for w, e in zip(words, self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-                    self[w] = np.array(e.ids, "<u4").tobytes()
+                self.learn(new)
             for words in split:
                 yield b"".join(map(self.__getitem__, words))
 
@@ -125,9 +150,10 @@ def slots_of(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(pieces: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> DataFrame:
-    """Add sequence_id and offset to a table with a ``length`` column (1..width). It is read three times: stage it first."""
+def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Add sequence_id and offset to a table with a ``length`` column (1..width). It is read four times: stage it first."""
     spark, cols = pieces.sparkSession, pieces.columns
+    buckets = min(MAX_BUCKETS, max(8, pieces.count() // BUCKET_ROWS))
     keyed = pieces.withColumn("_h", F.xxhash64(*cols)).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy("length", "_b").count()
     before = F.sum("count").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
