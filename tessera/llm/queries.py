@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, minhash, packing, sharding, suffixes, urls, warc
+import corpus_pipeline
+from tessera.llm import bpe, langid, minhash, packing, sharding, suffixes, urls, vectors, warc
 
 QUERIES = {
     "op5_minhash": minhash.op5_minhash,
+    "op2_vectors": vectors.op2_vectors,
     "op3_suffix_array": suffixes.op3_suffix_array,
     "op4_sharding": sharding.op4_sharding,
     "op6_bpe": bpe.op6_bpe,
@@ -15,3 +17,6 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -224,11 +224,14 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"o": int(a), "l": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row; ``kept`` is the remaining bytes."""
+def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *carry, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each row.
+
+    ``kept_text`` is the remaining bytes as text, without bytes that a cut left of a character.
+    """
     small_batches(df.sparkSession)
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = df.select(F.col(id_col), F.coalesce(F.unhex(F.md5(data)), F.lit(b"")).alias("key"), data.alias("data"))
+    rows = df.select(F.col(id_col), *carry, F.coalesce(F.unhex(F.md5(data)), F.lit(b"")).alias("key"), data.alias("data"))
     mark = "array<struct<o:int,l:int>>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +318,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     hits = hits.select(F.col("key").alias("of"), F.floor(F.col("place") / 2).cast("int").alias("start"), F.explode("marks").alias("x"))
     # equal texts bring equal marks: a set, built before the exchange
     hits = hits.groupBy("of").agg(F.collect_set(F.struct((F.col("start") + F.col("x.o")).alias("o"), F.col("x.l").alias("l"))).alias("xs"))
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,14 +334,14 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                 gone = gone[:-1] > 0
                 left = np.frombuffer(text_, np.uint8)[~gone].tobytes()
                 runs = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                out.append((key, len(text_), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left)[: len(names)])
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
+                out.append((key, len(text_), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)[: len(names)])
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     done = texts.join(hits.hint("merge"), texts["key"] == F.col("of"), "left").select("key", "data", "n", "xs")
-    done = done.mapInArrow(cut, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
-    return rows.select(id_col, "key").join(done, "key").drop("key")
+    done = done.mapInArrow(cut, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    return rows.select(id_col, *carry, "key").join(done, "key").drop("key")
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
