@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, langid, minhash, packing, sharding, suffixes, urls, vectors, warc
+from tessera.llm import bpe, langid, media, minhash, packing, sharding, suffixes, urls, vectors, warc
 
 QUERIES = {
     "op5_minhash": minhash.op5_minhash,
+    "op1_media": media.op1_media,
     "op2_vectors": vectors.op2_vectors,
     "op3_suffix_array": suffixes.op3_suffix_array,
     "op4_sharding": sharding.op4_sharding,
