@@ -26,7 +26,7 @@ from tessera.llm._common import read_table, small_batches, stage
 
 WIDTH = 2048
 END = 1
-CACHE = 1_000_000
+CACHE = 500_000
 #: Rows of one bucket, about, and most buckets.
 BUCKET_ROWS = 200_000
 MAX_BUCKETS = 1024
@@ -35,8 +35,19 @@ MAX_BUCKETS = 1024
 _TAIL = b".,;:!?"
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable ones stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class WordCache(dict):
-    """Ids of a word as little-endian u32 bytes. No token of this vocabulary spans white space, so texts may be cut there."""
+    """Ids of a word as little-endian u32 bytes. No token of this vocabulary spans white space, so texts may be cut there.
+
+    A word of Latin-1 letters, with or without marks after it, is one pre-token (and one for the marks): the model takes
+    it as it is, in lower case. Any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,39 +56,30 @@ class WordCache(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.word = self.tok.model.tokenize
-
-    def learn(self, new: set[bytes]) -> None:
-        """A word of ASCII letters is one pre-token, which the model takes as it is (in lower case); marks after it are another."""
-        pairs, rest = [], set()
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if not core.isalpha():
-                rest.add(w)
-                continue
-            low, tail = core.lower(), w[len(core) :]
-            if low not in self:
-                self[low] = np.array([t.id for t in self.word(low.decode())], "<u4").tobytes()
-            if tail:
-                rest.add(tail)
-            if low != w:
-                pairs.append((w, low, tail))
-        rest = [w for w in rest if w not in self]
-        for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, low, tail in pairs:
-            self[w] = self[low] + self[tail] if tail else self[low]
+        self.letters = byte_letters()
+
+    def __missing__(self, w: bytes) -> bytes:
+        core = w.rstrip(_TAIL)
+        if len(core) < len(w) and core.isalpha():
+            got = self[core] + self[w[len(core) :]]
+        elif w.isalpha():
+            low = w.lower()
+            got = self[low] if low != w else np.array([t.id for t in self.word(w.decode())], "<u4").tobytes()
+        else:
+            text = w.decode()
+            if text.isalpha() and max(text) < "\u0100":
+                ids = [t.id for t in self.word("".join(map(self.letters.__getitem__, text.lower().encode())))]
+            else:
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+            got = np.array(ids, "<u4").tobytes()
+        self[w] = got
+        return got
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 64):
-            split = [t.split() for t in texts[i : i + 64]]
-            new = set().union(*split).difference(self)
-            if new:
-                if len(self) + len(new) > CACHE:
-                    self.clear()
-                    new = set().union(*split)
-                self.learn(new)
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+        for t in texts:
+            if len(self) > CACHE:
+                self.clear()
+            yield b"".join(map(self.__getitem__, t.split()))
 
 
 _CACHES: dict[str, WordCache] = {}
