@@ -175,16 +175,16 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: f
     return np.concatenate(hit_q), np.concatenate(hit_n)
 
 
-def shard_links(x: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i != j, in range in either direction; each once in both orders."""
-    n, graph, keys = len(x), padded(lists), []
+def shard_links(x: np.ndarray, lists: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether i and j, i != j, are in range, found from either side: one byte a pair, at most (2 SHARD_CAP) squared."""
+    n, graph = len(x), padded(lists)
+    found = np.zeros((n, n), bool)
     for a in range(0, n, 256):
         q, node = range_search(x, graph, np.arange(a, min(n, a + 256)), least)
-        q = q + a
-        keys.append(np.unique(np.concatenate([q * n + node, node * n + q])))
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    i, j = key // max(n, 1), key % max(n, 1)
-    return i[i != j], j[i != j]
+        found[q + a, node] = True
+    found |= found.T
+    np.fill_diagonal(found, False)
+    return found
 
 
 def _valid(vec: str):
@@ -247,21 +247,24 @@ def _search(classes: DataFrame, dim: int, n: int, probes: int, least: float) ->
             chunk, ids, x, w, shards = np.array(cols[3]), np.array(cols[4]), unit(np.array(cols[5])), np.array(cols[6]), np.array(cols[7])
             place = {c: i for i, c in enumerate(cols[4])}
             lists = [np.array([place[y] for y in near_ if y in place], np.int64) for near_ in cols[8]]
-            a, b = shard_links(x, lists, least)
+            found = shard_links(x, lists, least)
+            links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
             if ci != cj:
-                a, b = a[chunk[a] != chunk[b]], b[chunk[a] != chunk[b]]
-            first = np.ones(len(a), bool)  # no smaller shard that both are in
-            for p in range(shards.shape[1]):
-                o = shards[a, p]
-                first &= ~((o < s) & (shards[b] == o[:, None]).any(1))
-            links = np.bincount(a[first], weights=w[b[first]], minlength=len(ids)).astype(np.int64)
-            root = np.arange(len(ids))
-            while True:
-                new = root.copy()
-                np.minimum.at(new, a, root[b])
+                found &= chunk[:, None] != chunk[None, :]
+            for lo in range(0, len(ids), 256):
+                a, b = np.nonzero(found[lo : lo + 256])
+                a += lo
+                first = np.ones(len(a), bool)  # no smaller shard that both are in
+                for p in range(shards.shape[1]):
+                    o = shards[a, p]
+                    first &= ~((o < s) & (shards[b] == o[:, None]).any(1))
+                links += np.bincount(a[first], weights=w[b[first]], minlength=len(ids)).astype(np.int64)
+            while True:  # least label of a node and all it is linked to
+                new = np.array([min(root[i], root[f].min(initial=len(ids))) for i, f in enumerate(found)], np.int64)
+                new = new[new]
                 if (new == root).all():
                     break
-                root = new[new]
+                root = new
             some = (links > 0) | (root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], names=["cid", "links", "root"])
 
