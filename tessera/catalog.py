@@ -1,5 +1,410 @@
-"""Registered queries: name -> (callable, oracle SQL or None)."""
+"""Registered queries over whole tables: name -> (callable, oracle SQL or None).
+
+The tables hold no nulls, so queries on null semantics make some with nullif, in both languages alike.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
+from tessera.frame import Frame, byrow
+from tessera.functions import aggs as A
+from tessera.functions import rowops as R
+from tessera.functions import windows as WN
+from tessera.operators import joins as J
+from tessera.operators import reshape as T
+from tessera.operators import sets as S
+from tessera.selectors import Between, Cols, Not
+
 QUERIES: dict = {}
+
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return put
+
+
+def _line(spark, d):
+    """lineitem with nulls."""
+    t = _table(spark, d, "lineitem")
+    null = lambda c, v: F.nullif(F.col(c), F.lit(v))
+    return t.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", null("l_quantity", 10.0).alias("q"), null("l_linenumber", 3).alias("ln"), F.round(F.col("l_discount") * 100).cast("int").alias("di"), null("l_tax", 0.02).alias("tax"), "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate")
+
+
+LINE = """line AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, nullif(l_quantity, 10.0) q, nullif(l_linenumber, 3) ln, CAST(round(l_discount * 100) AS INT) di,
+ nullif(l_tax, 0.02) tax, l_returnflag, l_linestatus, l_extendedprice, l_shipdate FROM lineitem)"""
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+K = ", ".join(KEYS)
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) sum_qty, count(l_quantity) n_l_quantity, round(avg(l_quantity), 6) mean_qty,
+ round(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(l_quantity), 6) ratio FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def flagship(spark, d):
+    f = Frame(_table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'").withColumn("qty", F.col("l_quantity").cast("long")))
+    got = f.groupby(["l_returnflag", "l_linestatus"]).combine(("qty", A.sum_, "sum_qty"), ("l_quantity", A.n), ("l_quantity", A.mean, "mean_qty"), (["sum_qty", "n_l_quantity"], byrow(lambda c: F.round(F.col(c[0]).cast("double") / F.col(c[1]), 6)), "ratio"))
+    return got.map(lambda c: F.round(c, 6), "mean_qty").sort(["l_returnflag", "l_linestatus"]).df
+
+
+# projection, schema, filters
+@query("SELECT o_orderkey AS key, o_totalprice, o_orderstatus FROM orders")
+def select_rename(spark, d):
+    return Frame(_table(spark, d, "orders")).select(re.compile("orderkey"), Cols("o_totalprice", "o_orderstatus"), Not("o_custkey")).rename({"o_orderkey": "key"}).df
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem")
+def select_between(spark, d):
+    return Frame(_table(spark, d, "lineitem")).select(Between("l_orderkey", 3)).df
+
+
+@query("SELECT o_orderkey, 1 AS one, o_totalprice * 2 AS twice, o_custkey, o_orderstatus FROM orders")
+def insert_columns(spark, d):
+    return Frame(_table(spark, d, "orders")).select(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]).insert_cols(2, one=1, twice=F.col("o_totalprice") * 2).select(Not("o_totalprice")).df
+
+
+@query("SELECT c_custkey, abs(c_acctbal) AS c_acctbal, upper(c_mktsegment) AS c_mktsegment FROM customer")
+def map_columns(spark, d):
+    return Frame(_table(spark, d, "customer")).select(["c_custkey", "c_acctbal", "c_mktsegment"]).map([F.abs, F.upper], ["c_acctbal", "c_mktsegment"]).df
+
+
+@query("SELECT c_custkey + 1 AS c_custkey, c_nationkey FROM customer")
+def map_same_type(spark, d):
+    return Frame(_table(spark, d, "customer")).select(["c_custkey", "c_nationkey"]).map_same_type(lambda c: c + F.lit(1).cast("long"), None).df
+
+
+@query(f"WITH {LINE} SELECT {K}, q, di FROM line WHERE q > 20 AND di = 5")
+def filter_all_by(spark, d):
+    return Frame(_line(spark, d)).filter(["q", "di"], by=[lambda c: c > 20, 5], missings=False).select([*KEYS, "q", "di"]).df
+
+
+@query(f"WITH {LINE} SELECT {K} FROM line WHERE coalesce(q > 45, true) OR coalesce(tax > 0.07, true)")
+def filter_any_missings_true(spark, d):
+    return Frame(_line(spark, d)).filter(["q", "tax"], by=[lambda c: c > 45, lambda c: c > 0.07], type="any", missings=True).select(KEYS).df
+
+
+@query(f"WITH {LINE} SELECT {K} FROM line WHERE NOT coalesce(q > 20, false)")
+def delete_rows(spark, d):
+    return Frame(_line(spark, d)).delete("q", by=lambda c: c > 20).select(KEYS).df
+
+
+@query(f"WITH {LINE} SELECT coalesce(q > 20, false) q, coalesce(tax > 0.04, false) tax FROM line")
+def mask_bool(spark, d):
+    return Frame(_line(spark, d)).mask([lambda c: c > 20, lambda c: c > 0.04], ["q", "tax"]).df
+
+
+@query(f"WITH {LINE} SELECT {K}, q IS NOT NULL AND tax IS NOT NULL AS complete FROM line")
+def complete_cases(spark, d):
+    return Frame(_line(spark, d)).complete_cases(["q", "tax"]).select([*KEYS, "complete"]).df
+
+
+@query(f"WITH {LINE} SELECT {K} FROM line WHERE q IS NOT NULL AND ln IS NOT NULL")
+def drop_missing(spark, d):
+    return Frame(_line(spark, d)).drop_missing(["q", "ln"]).select(KEYS).df
+
+
+# row operators
+def _rows(f):
+    def run(spark, d):
+        return _line(spark, d).select(*KEYS, *[c.alias(n) for n, c in f().items()])
+
+    return run
+
+
+def _row_query(name, cols, sql):
+    QUERIES[name] = (_rows(cols), f"WITH {LINE} SELECT {K}, {sql} FROM line")
+
+
+INTS = ["ln", "di", "l_linenumber"]
+_row_query("byrow_sum_mean", lambda: {"s": R.row_sum(["ln", "di"]).cast("long"), "m": R.row_mean(INTS), "p": R.row_prod(INTS).cast("long")}, "CAST(coalesce(ln, 0) + di AS BIGINT) s, CAST(coalesce(ln, 0) + di + l_linenumber AS DOUBLE) / (2 + CAST(ln IS NOT NULL AS INT)) m, CAST(coalesce(ln, 1) * di * l_linenumber AS BIGINT) p")
+_row_query("byrow_min_max", lambda: {"lo": R.row_min(INTS), "hi": R.row_max(INTS), "amin": R.row_argmin(INTS), "amax": R.row_argmax(INTS)}, "least(ln, di, l_linenumber) lo, greatest(ln, di, l_linenumber) hi, CASE least(ln, di, l_linenumber) WHEN ln THEN 'ln' WHEN di THEN 'di' ELSE 'l_linenumber' END amin, CASE greatest(ln, di, l_linenumber) WHEN ln THEN 'ln' WHEN di THEN 'di' ELSE 'l_linenumber' END amax")
+_row_query("byrow_var_std", lambda: {"v": F.round(R.row_var(INTS), 6), "v0": F.round(R.row_var(INTS, False), 6), "s": F.round(R.row_std(INTS), 6)}, "round((SELECT var_samp(x) FROM unnest([ln, di, l_linenumber]) t(x)), 6) v, round((SELECT var_pop(x) FROM unnest([ln, di, l_linenumber]) t(x)), 6) v0, round((SELECT stddev_samp(x) FROM unnest([ln, di, l_linenumber]) t(x)), 6) s")
+_row_query("byrow_count_any_all", lambda: {"c": R.row_count(INTS, 2), "a": R.row_any(INTS, 2), "l": R.row_all(INTS, lambda c: c > 1, False)}, "CAST(coalesce(ln = 2, false) AS BIGINT) + CAST(di = 2 AS BIGINT) + CAST(l_linenumber = 2 AS BIGINT) c, coalesce(ln = 2, false) OR di = 2 OR l_linenumber = 2 a, coalesce(ln > 1, false) AND di > 1 AND l_linenumber > 1 l")
+_row_query("byrow_isequal_isless_in", lambda: {"e": R.row_isequal(["ln", "l_linenumber"]), "l": R.row_isless(["ln"], "di"), "r": R.row_isless(["ln"], "di", rev=True), "i": R.row_in("di", ["ln", "l_linenumber"])}, "ln IS NOT DISTINCT FROM l_linenumber e, ln IS NOT NULL AND ln < di l, ln IS NULL OR ln > di r, coalesce(di = ln, false) OR di = l_linenumber i")
+_row_query("byrow_find_select", lambda: {"f": R.row_findfirst(INTS, 2), "z": R.row_findfirst(INTS, 2, last=True), "p": R.row_select(INTS, F.col("di"))}, "CASE WHEN ln = 2 THEN 'ln' WHEN di = 2 THEN 'di' WHEN l_linenumber = 2 THEN 'l_linenumber' END f, CASE WHEN l_linenumber = 2 THEN 'l_linenumber' WHEN di = 2 THEN 'di' WHEN ln = 2 THEN 'ln' END z, CASE di WHEN 1 THEN ln WHEN 2 THEN di WHEN 3 THEN l_linenumber END p")
+_row_query("byrow_fill_coalesce", lambda: R.row_fill(["q", "tax"], F.lit(-1.0)) | {"c": R.row_coalesce(["ln", "di"])}, "coalesce(q, -1.0) q, coalesce(tax, -1.0) tax, coalesce(ln, di) c")
+_row_query("byrow_fill_rolling", lambda: R.row_fill(["ln", "di"], F.col("l_linenumber"), by=lambda c: c.isNull() | (c == 0), rolling=True), "CASE WHEN ln IS NULL OR ln = 0 THEN l_linenumber ELSE ln END ln, CASE WHEN di = 0 THEN CASE WHEN ln IS NULL OR ln = 0 THEN l_linenumber ELSE ln END ELSE di END di")
+_row_query("byrow_nunique", lambda: {"u": R.row_nunique(INTS), "v": R.row_nunique(INTS, count_missing=False)}, "CAST((SELECT count(DISTINCT x) FROM unnest([ln, di, l_linenumber]) t(x)) + CAST(ln IS NULL AS INT) AS BIGINT) u, CAST((SELECT count(DISTINCT x) FROM unnest([ln, di, l_linenumber]) t(x)) AS BIGINT) v")
+_row_query("byrow_cumulative", lambda: {f"s_{n}": c for n, c in R.row_cumsum(["di", "ln", "l_linenumber"]).items()} | {f"k_{n}": c for n, c in R.row_cumsum(["di", "ln"], "skip").items()} | {f"x_{n}": c for n, c in R.row_cummax(["di", "ln"]).items()} | {f"n_{n}": c for n, c in R.row_cummin(["di", "ln"]).items()} | {f"p_{n}": c for n, c in R.row_cumprod(["di", "ln"]).items()}, "di s_di, di + coalesce(ln, 0) s_ln, di + coalesce(ln, 0) + l_linenumber s_l_linenumber, di k_di, di + ln k_ln, di x_di, greatest(di, ln) x_ln, di n_di, least(di, ln) n_ln, di p_di, di * coalesce(ln, 1) p_ln")
+_row_query("byrow_sort", lambda: {f"s_{n}": c for n, c in R.row_sort(INTS).items()} | {"ok": R.row_issorted(INTS)}, "list_sort([ln, di, l_linenumber], 'ASC', 'NULLS LAST')[1] s_ln, list_sort([ln, di, l_linenumber], 'ASC', 'NULLS LAST')[2] s_di, list_sort([ln, di, l_linenumber], 'ASC', 'NULLS LAST')[3] s_l_linenumber, (ln IS NOT NULL AND ln <= di AND di <= l_linenumber) ok")
+_row_query("byrow_stdze", lambda: {n: F.round(c, 6) for n, c in R.row_stdze(INTS).items()}, ", ".join(f"round(({c} - (SELECT avg(x) FROM unnest([ln, di, l_linenumber]) t(x))) / nullif((SELECT stddev_samp(x) FROM unnest([ln, di, l_linenumber]) t(x)), 0), 6) {'z_' if c == 'l_linenumber' else ''}{c}" for c in INTS))
+QUERIES["byrow_stdze"] = (_rows(lambda: {("z_" if n == "l_linenumber" else "") + n: F.round(c, 6) for n, c in R.row_stdze(INTS).items()}), QUERIES["byrow_stdze"][1])
+_row_query("byrow_join", lambda: {"j": R.row_join(["ln", "di", "l_returnflag"], ",", " and ")}, "coalesce(CAST(ln AS VARCHAR), '') || ',' || di || ' and ' || l_returnflag j")
+_row_query("byrow_mapreduce", lambda: {"m": R.row_mapreduce(["di", "l_linenumber"], lambda c: c * c, lambda a, b: a + b)}, "di * di + l_linenumber * l_linenumber m")
+
+
+# aggregates
+@query(f"""WITH {LINE} SELECT l_suppkey, max(q) maximum_q, min(q) minimum_q, CAST(sum(di) AS BIGINT) sum_di, count(q) n_q, count(*) - count(q) nmissing_q, count(*) length_q,
+ max(q) - min(q) AS range FROM line GROUP BY 1""")
+def combine_basic(spark, d):
+    return Frame(_line(spark, d)).groupby("l_suppkey").combine(("q", [A.maximum, A.minimum]), ("di", A.sum_), ("q", [A.n, A.nmissing, A.length]), (["maximum_q", "minimum_q"], byrow(lambda c: F.col(c[0]) - F.col(c[1])), "range")).df
+
+
+@query(f"WITH {LINE} SELECT l_returnflag, round(corr(q, l_extendedprice), 6) cor_q_l_extendedprice, round(covar_samp(q, l_extendedprice), 2) cov_q_l_extendedprice FROM line GROUP BY 1")
+def combine_multivariate(spark, d):
+    got = Frame(_line(spark, d)).groupby("l_returnflag").combine((("q", "l_extendedprice"), [A.cor, A.cov]))
+    return got.df.select("l_returnflag", F.round("cor_q_l_extendedprice", 6).alias("cor_q_l_extendedprice"), F.round("cov_q_l_extendedprice", 2).alias("cov_q_l_extendedprice"))
+
+
+@query(f"WITH {LINE} SELECT l_suppkey, round(var_samp(q), 6) v, round(stddev_samp(q), 6) s, round(var_pop(q), 6) p, median(q) m, round(sum(q * di) / nullif(sum(CASE WHEN q IS NOT NULL THEN di END), 0), 6) w, count(DISTINCT q) + CAST(count(*) > count(q) AS INT) u FROM line GROUP BY 1")
+def agg_statistics(spark, d):
+    return _line(spark, d).groupBy("l_suppkey").agg(F.round(A.var("q"), 6).alias("v"), F.round(A.std("q"), 6).alias("s"), F.round(A.var("q", False), 6).alias("p"), A.median("q").alias("m"), F.round(A.wmean("q", "di"), 6).alias("w"), A.nunique("q").alias("u"))
+
+
+@query("SELECT user_id, max(value) hi, arg_max(event_id, (value, -event_id)) amax, arg_min(event_id, (value, event_id)) amin FROM events GROUP BY 1")
+def agg_argmax(spark, d):
+    return _table(spark, d, "events").groupBy("user_id").agg(A.findmax("value", "event_id")["value"].alias("hi"), A.argmax("value", "event_id").alias("amax"), A.argmin("value", "event_id").alias("amin"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) n FROM events) WHERE n <= 3")
+def agg_topk_group(spark, d):
+    e = _table(spark, d, "events")
+    n = F.row_number().over(WN.over(["user_id"], [F.desc("value"), "event_id"])[3])
+    return e.withColumn("n", n).where("n <= 3").select("user_id", "event_id", "value")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 50")
+def topk_global(spark, d):
+    return Frame(_table(spark, d, "events")).with_order("event_id").topk("value", 50).select(["event_id", "value"]).df
+
+
+@query(f"""WITH {LINE} SELECT * FROM (SELECT 'q' AS "column", CAST(count(q) AS DOUBLE) n, CAST(count(*) - count(q) AS DOUBLE) nmissing, round(avg(q), 6) mean, round(stddev_samp(q), 6) std, min(q) minimum, max(q) maximum FROM line)
+ UNION ALL SELECT 'di', count(di), count(*) - count(di), round(avg(di), 6), round(stddev_samp(di), 6), min(di), max(di) FROM line""")
+def describe_stats(spark, d):
+    got = Frame(_line(spark, d)).describe(["q", "di"]).df
+    return got.select("column", "n", "nmissing", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "minimum", "maximum")
+
+
+@query("""SELECT event_type, count(*) length_value, min(event_id) minimum_event_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) run FROM events)
+ GROUP BY event_type, run""")
+def gatherby_runs(spark, d):
+    f = Frame(_table(spark, d, "events")).with_order("event_id").gatherby("event_type", isgathered=True)
+    return f.combine(("event_type", A.minimum, "event_type"), ("value", A.length), ("event_id", A.minimum)).select(Not("run_id")).df
+
+
+@query("SELECT user_id, count(*) length_value, min(event_id) first_id FROM events GROUP BY 1 ORDER BY first_id")
+def gatherby_appearance(spark, d):
+    f = Frame(_table(spark, d, "events")).with_order("event_id").gatherby("user_id")
+    return f.combine(("value", A.length), ("event_id", A.minimum, "first_id")).df.orderBy("first_id")
+
+
+# windows
+EV = "PARTITION BY user_id ORDER BY event_id"
+
+
+def _events(spark, d):
+    return Frame(_table(spark, d, "events").select("event_id", "user_id", "event_type", F.round("value").cast("long").alias("x"), F.nullif(F.round("value").cast("long") % 5, F.lit(0)).alias("v"))).with_order("event_id").groupby("user_id")
+
+
+ESQL = "e AS (SELECT event_id, user_id, event_type, CAST(round(value) AS BIGINT) x, nullif(CAST(round(value) AS BIGINT) % 5, 0) v FROM events)"
+
+
+def _win_query(name, cols, sql):
+    def run(spark, d):
+        return _events(spark, d).modify(**{n: f for n, f in cols.items()}).select(["event_id", *cols]).df
+
+    QUERIES[name] = (run, f"WITH {ESQL} SELECT event_id, {sql} FROM e")
+
+
+_win_query("lag_lead", {"a": lambda g, o: WN.lag("v", 1, None, g, o), "b": lambda g, o: WN.lead("x", 2, -1, g, o)}, f"lag(v) OVER ({EV}) a, lead(x, 2, -1) OVER ({EV}) b")
+_win_query("cumsum_ignore_skip", {"a": lambda g, o: WN.cumsum("v", "ignore", g, o), "b": lambda g, o: WN.cumsum("v", "skip", g, o)}, f"CAST(sum(v) OVER ({EV}) AS BIGINT) a, CAST(CASE WHEN v IS NOT NULL THEN sum(v) OVER ({EV}) END AS BIGINT) b")
+_win_query("cummin_cummax", {"a": lambda g, o: WN.cummin("v", "ignore", g, o), "b": lambda g, o: WN.cummax("v", "skip", g, o)}, f"min(v) OVER ({EV}) a, CASE WHEN v IS NOT NULL THEN max(v) OVER ({EV}) END b")
+_win_query("cumprod", {"a": lambda g, o: F.when(WN.lag("x", 5, None, g, o).isNull(), WN.cumprod("v", "ignore", g, o))}, f"CASE WHEN lag(x, 5) OVER ({EV}) IS NULL THEN CAST(product(v) OVER ({EV}) AS DOUBLE) END a")
+_win_query("ffill_bfill", {"a": lambda g, o: WN.ffill("v", None, g, o), "b": lambda g, o: WN.bfill("v", None, g, o), "c": lambda g, o: WN.ffill("x", lambda c: c % 2 == 1, g, o)}, f"coalesce(last_value(v IGNORE NULLS) OVER ({EV}), v) a, coalesce(first_value(v IGNORE NULLS) OVER ({EV} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), v) b, coalesce(last_value(CASE WHEN x % 2 = 1 THEN NULL ELSE x END IGNORE NULLS) OVER ({EV}), x) c")
+_win_query("stdze_rescale", {"a": lambda g, o: F.round(WN.stdze("x", g), 6), "b": lambda g, o: F.round(WN.rescale("x", 0, 10, g), 6)}, "round((x - avg(x) OVER (PARTITION BY user_id)) / nullif(stddev_samp(x) OVER (PARTITION BY user_id), 0), 6) a, round(CAST(x - min(x) OVER (PARTITION BY user_id) AS DOUBLE) / nullif(max(x) OVER (PARTITION BY user_id) - min(x) OVER (PARTITION BY user_id), 0) * 10, 6) b")
+_win_query("modify_share", {"t": lambda g, o: F.sum("x").over(WN.over(g, ())[0]), "s": lambda g, o: F.round(F.col("x") / F.nullif(F.col("t"), F.lit(0)), 6)}, "CAST(sum(x) OVER (PARTITION BY user_id) AS BIGINT) t, round(CAST(x AS DOUBLE) / nullif(sum(x) OVER (PARTITION BY user_id), 0), 6) s")
+
+
+# joins
+def _sides(spark, d):
+    c = _table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("nk"), "c_mktsegment")
+    s = _table(spark, d, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(3)).alias("nk"), "s_acctbal").where("s_suppkey % 3 = 0 and s_nationkey % 5 != 0")
+    return c, s
+
+
+CS = "c AS (SELECT c_custkey, nullif(c_nationkey, 3) nk, c_mktsegment FROM customer), s AS (SELECT s_suppkey, nullif(s_nationkey, 3) nk, s_acctbal FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey % 5 != 0)"
+
+
+def _join_query(name, f, sql):
+    QUERIES[name] = (lambda spark, d: f(*_sides(spark, d)), f"WITH {CS} {sql}")
+
+
+ON = "c.nk IS NOT DISTINCT FROM s.nk"
+_join_query("left_join", lambda c, s: J.left_join(c, s, "nk"), f"SELECT c.*, s_suppkey, s_acctbal FROM c LEFT JOIN s ON {ON}")
+_join_query("inner_join", lambda c, s: J.inner_join(c, s, "nk"), f"SELECT c.*, s_suppkey, s_acctbal FROM c JOIN s ON {ON}")
+_join_query("outer_join_source", lambda c, s: J.outer_join(c.where("c_custkey % 7 = 0"), s, "nk", source="src"), f"SELECT c_custkey, coalesce(c.nk, s.nk) nk, c_mktsegment, s_suppkey, s_acctbal, CASE WHEN s_suppkey IS NULL THEN 'left' WHEN c_custkey IS NULL THEN 'right' ELSE 'both' END src FROM (SELECT * FROM c WHERE c_custkey % 7 = 0) c FULL JOIN s ON {ON}")
+_join_query("semi_join", lambda c, s: J.semi_join(c, s, "nk"), f"SELECT * FROM c WHERE EXISTS (SELECT 1 FROM s WHERE {ON})")
+_join_query("anti_join", lambda c, s: J.anti_join(c, s, "nk"), f"SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE {ON})")
+_join_query("contains_flag", lambda c, s: J.contains(c, s, "nk"), f"SELECT *, EXISTS (SELECT 1 FROM s WHERE {ON}) AS contains FROM c")
+_join_query("multiple_match", lambda c, s: J.with_multiple_match(J.left_join(c, s, "nk"), "c_custkey"), f"SELECT c.*, s_suppkey, s_acctbal, count(*) OVER (PARTITION BY c_custkey) > 1 multiple_match FROM c LEFT JOIN s ON {ON}")
+_join_query("left_join_unique", lambda c, s: J.left_join_unique(c, s.groupBy("nk").agg(F.max("s_suppkey").alias("top")), "nk"), "SELECT c.*, top FROM c LEFT JOIN (SELECT nk, max(s_suppkey) top FROM s GROUP BY 1) s ON c.nk IS NOT DISTINCT FROM s.nk")
+
+
+def _ranges(spark, d):
+    o = _table(spark, d, "orders").select("o_orderkey", "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    r = _table(spark, d, "part").select("p_partkey", "p_size", (F.lit(694224000) + F.col("p_partkey") * 86400).alias("lo"), F.when(F.col("p_partkey") % 9 != 0, F.lit(694224000) + (F.col("p_partkey") + F.col("p_size") % 4) * 86400).alias("hi")).where("p_partkey % 10 < 2")
+    return o, r
+
+
+RSQL = "o AS (SELECT o_orderkey, o_custkey, CAST(epoch(o_orderdate) AS BIGINT) t FROM orders), r AS (SELECT p_partkey, p_size, 694224000 + p_partkey * 86400 lo, CASE WHEN p_partkey % 9 != 0 THEN 694224000 + (p_partkey + p_size % 4) * 86400 END hi FROM part WHERE p_partkey % 10 < 2)"
+
+
+@query(f"WITH {RSQL} SELECT o_orderkey, o_custkey, t, p_partkey, p_size FROM o JOIN r ON t >= lo AND t < hi")
+def range_join(spark, d):
+    o, r = _ranges(spark, d)
+    return J.range_join(o, r.where("hi is not null"), None, "t", "lo", "hi", (False, True), bin_width=4 * 86400)
+
+
+@query(f"WITH {RSQL} SELECT o_orderkey, o_custkey, t, p_size FROM o JOIN (SELECT p_partkey k, p_size, lo, hi FROM r) r ON o_custkey = k AND t >= lo AND (t <= hi OR hi IS NULL)")
+def range_join_equal(spark, d):
+    o, r = _ranges(spark, d)
+    return J.range_join(o, r, [("o_custkey", "p_partkey")], "t", "lo", "hi")
+
+
+@query(f"WITH {RSQL} SELECT o_orderkey, o_custkey, t, p_size FROM o JOIN r ON o_custkey = p_partkey AND t > lo")
+def inequality_join(spark, d):
+    o, r = _ranges(spark, d)
+    return J.range_join(o, r.drop("hi"), [("o_custkey", "p_partkey")], "t", "lo", None, (True, False))
+
+
+@query(f"WITH {RSQL} SELECT * FROM o WHERE EXISTS (SELECT 1 FROM r WHERE o_custkey = p_partkey AND t >= lo AND (t <= hi OR hi IS NULL))")
+def range_semi_join(spark, d):
+    o, r = _ranges(spark, d)
+    return J.range_join(o, r, [("o_custkey", "p_partkey")], "t", "lo", "hi", how="left_semi")
+
+
+def _asof(spark, d):
+    e = _table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return e.where("event_type = 'purchase'").select("event_id", "user_id", "t"), e.where("event_type = 'view'").select(F.col("event_id").alias("vid"), "user_id", "t", F.col("value").alias("vv"))
+
+
+ASQL = "p AS (SELECT event_id, user_id, epoch_us(ts) t FROM events WHERE event_type = 'purchase'), w AS (SELECT event_id vid, user_id, epoch_us(ts) t, value vv FROM events WHERE event_type = 'view')"
+
+
+def _asof_query(name, sql, **kw):
+    def run(spark, d):
+        a, b = _asof(spark, d)
+        return J.close_join(a, b, "user_id", "t", ["event_id"], ["vid"], **kw)
+
+    QUERIES[name] = (run, f"WITH {ASQL}, b AS (SELECT p.*, vid, vv, w.t wt FROM p ASOF LEFT JOIN w ON p.user_id = w.user_id AND p.t >= w.t), f AS (SELECT p.event_id, w.vid, w.vv, w.t wt FROM p ASOF LEFT JOIN w ON p.user_id = w.user_id AND p.t <= w.t) {sql}")
+
+
+_asof_query("asof_backward", "SELECT event_id, user_id, t, vid, vv FROM b")
+_asof_query("asof_forward", "SELECT p.event_id, user_id, t, vid, vv FROM p JOIN f USING (event_id)", direction="forward")
+_asof_query("asof_nearest", "SELECT b.event_id, user_id, t, CASE WHEN f.vid IS NULL OR t - b.wt < f.wt - t THEN b.vid ELSE f.vid END vid, CASE WHEN f.vid IS NULL OR t - b.wt < f.wt - t THEN b.vv ELSE f.vv END vv FROM b JOIN f USING (event_id)", direction="nearest")
+_asof_query("asof_border_nearest", "SELECT b.event_id, user_id, t, coalesce(b.vid, f.vid) vid, coalesce(b.vv, f.vv) vv FROM b JOIN f USING (event_id)", border="nearest")
+_asof_query("asof_border_none", "SELECT b.event_id, user_id, t, CASE WHEN f.vid IS NOT NULL THEN b.vid END vid, CASE WHEN f.vid IS NOT NULL THEN b.vv END vv FROM b JOIN f USING (event_id)", border="none")
+_asof_query("asof_tolerance", "SELECT event_id, user_id, t, CASE WHEN t - wt < 36000000000 THEN vid END vid, CASE WHEN t - wt < 36000000000 THEN vv END vv FROM b", tol=36_000_000_000)
+_asof_query("asof_no_exact", "SELECT event_id, user_id, t, CASE WHEN wt != t THEN vid END vid, CASE WHEN wt != t THEN vv END vv FROM b", allow_exact_match=False)
+
+
+def _update(spark, d, **kw):
+    m = _table(spark, d, "customer").select("c_custkey", "c_nationkey", F.nullif(F.col("c_custkey") % 4, F.lit(0)).alias("x"), F.nullif(F.col("c_custkey") % 3, F.lit(0)).alias("y"))
+    t = _table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.nullif(F.col("s_suppkey") % 5, F.lit(0)).alias("x"), F.nullif(F.col("s_suppkey") % 2, F.lit(0)).alias("y"))
+    return J.update(m, t, "c_nationkey", "s_suppkey", **kw)
+
+
+USQL = "m AS (SELECT c_custkey, c_nationkey, nullif(c_custkey % 4, 0) x, nullif(c_custkey % 3, 0) y FROM customer), u AS (SELECT s_nationkey, nullif(s_suppkey % 5, 0) nx, nullif(s_suppkey % 2, 0) ny FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) = 1)"
+QUERIES["update_missings"] = (lambda s, d: _update(s, d), f"WITH {USQL} SELECT c_custkey, c_nationkey, coalesce(x, nx) x, coalesce(y, ny) y FROM m LEFT JOIN u ON c_nationkey = s_nationkey")
+QUERIES["update_all"] = (lambda s, d: _update(s, d, mode="all"), f"WITH {USQL} SELECT c_custkey, c_nationkey, coalesce(nx, x) x, coalesce(ny, y) y FROM m LEFT JOIN u ON c_nationkey = s_nationkey")
+QUERIES["update_op"] = (lambda s, d: _update(s, d, op=lambda a, b: a + b), f"WITH {USQL} SELECT c_custkey, c_nationkey, CASE WHEN nx IS NOT NULL THEN x + nx ELSE x END x, CASE WHEN ny IS NOT NULL THEN y + ny ELSE y END y FROM m LEFT JOIN u ON c_nationkey = s_nationkey")
+
+
+@query("""SELECT coalesce(a.k, b.k) k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN a.x IS NOT DISTINCT FROM b.y END "x=>y" FROM (SELECT c_custkey k, c_nationkey x FROM customer WHERE c_custkey % 2 = 0) a
+ FULL JOIN (SELECT c_custkey k, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE c_nationkey END y FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+def compare_on(spark, d):
+    c = _table(spark, d, "customer")
+    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("x"))
+    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(F.col("c_nationkey")).alias("y"))
+    return J.compare(a, b, "k", [("x", "y")])
+
+
+# reshape
+TYPES = ["view", "click", "purchase", "signup", "error"]
+
+
+@query("SELECT c_custkey, v AS _variables_, x AS _c1 FROM (SELECT c_custkey, unnest(['a', 'b']) v, unnest([c_nationkey, c_nationkey * 2]) x FROM customer)")
+def stack_long(spark, d):
+    return T.stack(_table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("a"), (F.col("c_nationkey") * 2).alias("b")), ["c_custkey"], ["a", "b"])
+
+
+@query("SELECT user_id, " + ", ".join(f"coalesce(CAST(sum(CASE WHEN event_type = '{t}' THEN 1 END) AS BIGINT), -1) AS {t}" for t in TYPES) + " FROM events GROUP BY 1")
+def pivot_default(spark, d):
+    n = _table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return T.pivot(n, ["user_id"], "event_type", "n", TYPES, default=-1)
+
+
+@query("SELECT user_id, 'event_id' AS _variables_, " + ", ".join(f"max(CASE WHEN n = {k} THEN event_id END) _c{k}" for k in (1, 2, 3)) + " FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n FROM events) GROUP BY 1")
+def transpose_group_rows(spark, d):
+    return T.rows_to_columns(_table(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], ["event_id"], 3)
+
+
+@query("SELECT vec_id, unnest(range(1, 65)) pos, unnest(embedding) x FROM embeddings")
+def flatten_lists(spark, d):
+    e = _table(spark, d, "embeddings").select("vec_id", F.sequence(F.lit(1), F.size("embedding")).cast("array<bigint>").alias("pos"), F.col("embedding").alias("x"))
+    return T.flatten(e, ["pos", "x"])
+
+
+@query("SELECT event_id, split_part(event_type, 'i', 1) a, nullif(split_part(event_type, 'i', 2), '') b FROM events")
+def split_columns(spark, d):
+    e = _table(spark, d, "events").select("event_id", F.split("event_type", "i").alias("p"))
+    return T.split_into(e, "p", ["a", "b"]).select("event_id", "a", F.nullif("b", F.lit("")).alias("b"))
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation, range(5) t(i) WHERE i < n_regionkey")
+def repeat_freq(spark, d):
+    return T.repeat(_table(spark, d, "nation").select("n_nationkey", "n_regionkey"), freq="n_regionkey")
+
+
+# sets and order
+UNI = {"first": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1", "last": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1", "none": "SELECT event_id, user_id, event_type FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_type) = 1", "only": "SELECT event_id, user_id, event_type FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_type) > 1"}
+for _k, _sql in UNI.items():
+    QUERIES[f"unique_{_k}"] = (lambda s, d, k=_k: S.unique(_table(s, d, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"], k), _sql)
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 duplicate FROM events")
+def duplicates_flag(spark, d):
+    return S.duplicates(_table(spark, d, "events").select("event_id", "user_id"), ["user_id"], ["event_id"]).select("event_id", "duplicate")
+
+
+@query("SELECT n_name AS name, n_nationkey AS nk, NULL::INT AS rk, 1 AS src FROM nation UNION ALL SELECT r_name, NULL, r_regionkey, 2 FROM region")
+def vcat_union(spark, d):
+    n = _table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nk"))
+    r = _table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("rk"))
+    return S.vcat([n, r], "union", "src")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts) row_id FROM events")
+def row_positions(spark, d):
+    return S.row_ids(_table(spark, d, "events").select("event_id", "ts"), "ts").select("event_id", "row_id")
+
+
+@query(f"WITH {LINE} SELECT {K}, ln FROM line")
+def sort_nulls_last(spark, d):
+    return Frame(_line(spark, d)).sort(["ln", *KEYS], rev=[True] + [False] * 4).select([*KEYS, "ln"]).df
+
+
+@query("SELECT count(*) c, event_id FROM events WHERE event_id > 100 GROUP BY 2")
+def delete_positions(spark, d):
+    return S.delete_at(_table(spark, d, "events").select("event_id"), "event_id", [i + 1 for i in range(101)]).groupBy("event_id").agg(F.count("*").alias("c"))
+
+
+# formats
+@query("SELECT min(o_orderdate) o_orderdate, count(*) length_o_totalprice, max(o_totalprice) maximum_o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) FROM orders) GROUP BY year(o_orderdate)")
+def group_formatted(spark, d):
+    f = Frame(_table(spark, d, "orders")).with_order("o_orderdate", "o_orderkey").set_format(o_orderdate=F.year).groupby("o_orderdate")
+    return f.combine(("o_totalprice", [A.length, A.maximum])).df
+
+
+@query("SELECT o_orderkey, o_orderdate, label FROM orders LEFT JOIN (SELECT 1995 y, 'mid' AS label UNION ALL SELECT 1997, 'late') t ON year(o_orderdate) = y")
+def join_formatted(spark, d):
+    o = _table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    r = spark.sql("SELECT * FROM VALUES (1995, 'mid'), (1997, 'late') AS t(y, label)")
+    return J.left_join(o, r, [("o_orderdate", "y")], formats={"left": {"o_orderdate": F.year}})
