@@ -156,7 +156,8 @@ def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """Add sequence_id and offset to a table with a ``length`` column (1..width). It is read four times: stage it first."""
     spark, cols = pieces.sparkSession, pieces.columns
     buckets = min(MAX_BUCKETS, max(8, pieces.count() // BUCKET_ROWS))
-    keyed = pieces.withColumn("_h", F.xxhash64(*cols)).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
+    row = F.struct(*[f"`{c}`" for c in cols]).alias("_row")  # own columns can't clash with helpers
+    keyed = pieces.select(row, "length", F.xxhash64(*[f"`{c}`" for c in cols]).alias("_h")).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy("length", "_b").count()
     before = F.sum("count").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("length", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -165,12 +166,12 @@ def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     for x, *rest in slots_of(patterns(histogram, width)):
         slots.setdefault(x, []).append(tuple(rest))
     table = spark.createDataFrame(sorted(slots.items()), "length bigint, slots array<struct<first:bigint,n:bigint,seq:bigint,offset:bigint>>")
-    rank = F.row_number().over(W.partitionBy("length", "_b").orderBy("_h", *[c for c in cols if c != "length"]))
+    rank = F.row_number().over(W.partitionBy("length", "_b").orderBy("_h", "_row"))
     ranked = keyed.withColumn("_k", rank - 1).join(F.broadcast(offsets) if len(histogram) * buckets <= 1 << 20 else offsets, ["length", "_b"])
     ranked = ranked.withColumn("_k", F.col("_k") + F.col("_before"))
     got = ranked.join(F.broadcast(table), "length")
     got = got.withColumn("_s", F.filter("slots", lambda s: (s["first"] <= F.col("_k")) & (F.col("_k") < s["first"] + s["n"]))[0])
-    return got.select(*cols, (F.col("_s.seq") + F.col("_k") - F.col("_s.first")).alias("sequence_id"), F.col("_s.offset").alias("offset"))
+    return got.select("_row.*", (F.col("_s.seq") + F.col("_k") - F.col("_s.first")).alias("sequence_id"), F.col("_s.offset").alias("offset"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,11 @@ def near_equal(total: int, parts: int) -> list[int]:
 def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = SEED, part_rows: int = PART_ROWS) -> DataFrame:
     """All columns of df plus shard (0..n_shards-1) and slot (0.. in each shard); counts are at most one apart."""
     spark, own = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
-    df = df.select(*own)
-    plain = [F.to_json(c) if df.schema[c].dataType.typeName() in ("map", "struct", "variant") else F.col(c) for c in own]
-    key = F.xxhash64(F.lit(seed), *plain)
+    plain = [F.to_json(F.struct(c)) if df.schema[c].dataType.typeName() in ("map", "struct", "variant") else F.col(f"`{c}`") for c in own]
+    df = df.select(F.struct(*[f"`{c}`" for c in own]).alias("_row"), F.xxhash64(F.lit(seed), *plain).alias("_h"))  # own columns can't clash with helpers
     total = df.count()
     parts = int(min(MAX_PARTS, max(1, -(-total // part_rows))))
-    df = df.withColumn("_h", key).withColumn("_p", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(parts)).cast("int"))
+    df = df.withColumn("_p", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(parts)).cast("int"))
     # rows that are equal in full share a hash, hence a partition; a salt by nothing else is needed for a third of all rows
     # being one text, as ids differ. Partition sizes are the only thing gathered: one number each.
     counts = dict(df.groupBy("_p").count().collect())
@@ -68,7 +67,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = SEED, part_row
     sent = sent.withColumn("_b", F.size(F.filter("_ends", lambda e: e < F.col("_r")))).drop("_ends", "_r", "_p")
     base = F.element_at(F.array(*[F.lit(x) for x in starts]), F.col("_b") + 1).cast("long")
     again = F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 3), "_h"), "_h"))
-    return sent.select(*own, F.floor(F.col("_b") / per).cast("int").alias("shard"), (base + again - 1).alias("slot"))
+    return sent.select("_row.*", F.floor(F.col("_b") / per).cast("int").alias("shard"), (base + again - 1).alias("slot"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
