@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, langid, media, minhash, packing, sharding, suffixes, urls, vectors, warc
+from tessera.llm import bpe, langid, media, minhash, oracles, packing, sharding, suffixes, urls, vectors, warc
 
 QUERIES = {
     "op5_minhash": minhash.op5_minhash,
@@ -17,7 +17,7 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_warc": warc.op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.all_sql()
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

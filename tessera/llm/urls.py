@@ -75,11 +75,29 @@ def train(spark: SparkSession, labelled: list[tuple[str, int]] = LABELLED) -> li
     url = F.col("x.url")
     table = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(float(y)).alias("y")) for u, y in labelled])
     rows = spark.range(1).select(F.explode(table).alias("x")).select(grams(host_of(url), path_of(url)).alias("g"), F.col("x.y").alias("y")).collect()
+    return fit([(r["g"], r["y"]) for r in rows])
+
+
+def plain_grams(url: str) -> list[int]:
+    """What ``grams`` gives for a well-formed url, in plain Python."""
+    rest = url.partition("://")[2]
+    text = f" {rest.split('?')[0].split('#')[0].lower()} "
+    out = []
+    for i in range(len(text) - NGRAM + 1):
+        code = 0
+        for c in text[i : i + NGRAM]:
+            code = code * 37 + ord(c)
+        out.append(code % BUCKETS)
+    return out
+
+
+def fit(rows: list[tuple[list[int], float]]) -> list[float]:
+    """Logistic regression on shares of buckets, by full-batch gradient steps; BUCKETS weights and the bias."""
     x = np.zeros((len(rows), BUCKETS))
-    for i, r in enumerate(rows):
-        np.add.at(x[i], r["g"], 1.0)
+    for i, (g, _) in enumerate(rows):
+        np.add.at(x[i], g, 1.0)
     x *= SCALE / np.maximum(x.sum(1, keepdims=True), 1)
-    y = np.array([r["y"] for r in rows])
+    y = np.array([float(v) for _, v in rows])
     w, bias = np.zeros(BUCKETS), 0.0
     for _ in range(STEPS):
         e = y - 1 / (1 + np.exp(-(x @ w + bias)))
