@@ -206,7 +206,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n
     n_bands = bands_for(num / den)
     feats = stage(features(df, id_col, text, n_bands, width=width), "features")
     some = feats.where("n_shingles > 0 and id is not null")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("id", "bands")).alias("r"))
+    # Staged, so that the join of rows to classes below is between plain exchanges, and a hot class can be split.
+    classes = stage(some.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("id", "bands")).alias("r")), "classes")
     member = classes.select(F.col("r.id").alias("id"), F.explode("r.bands").alias("key"))
     stars = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("centre"))
     edges = stage(member.join(stars, "key").where("id != centre").select("centre", F.col("id").alias("member")).distinct(), "edges")
