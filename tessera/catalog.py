@@ -408,3 +408,89 @@ def join_formatted(spark, d):
     o = _table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     r = spark.sql("SELECT * FROM VALUES (1995, 'mid'), (1997, 'late') AS t(y, label)")
     return J.left_join(o, r, [("o_orderdate", "y")], formats={"left": {"o_orderdate": F.year}})
+
+
+# more of the same surface
+@query(f"WITH {CS} SELECT c_custkey obs_id_left, c.nk, c_mktsegment, s_suppkey obs_id_right, s_acctbal FROM c LEFT JOIN s ON {ON}")
+def obs_ids(spark, d):
+    c, s = _sides(spark, d)
+    return J.with_obs_ids(c, s, "nk", "c_custkey", "s_suppkey")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS position FROM events")
+def sort_permutation(spark, d):
+    return S.sort_permutation(_table(spark, d, "events"), [F.desc("value")], "event_id")
+
+
+@query("SELECT 'c_acctbal' AS _variables_, " + ", ".join(f'max(CASE WHEN c_custkey = {k} THEN c_acctbal END) AS "{k}"' for k in range(1, 6)) + " FROM customer UNION ALL SELECT 'n', " + ", ".join(f"max(CASE WHEN c_custkey = {k} THEN CAST(c_nationkey AS DOUBLE) END)" for k in range(1, 6)) + " FROM customer")
+def transpose_rows(spark, d):
+    c = _table(spark, d, "customer").where("c_custkey between 1 and 5").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n"))
+    return T.transpose(c, ["c_acctbal", "n"], "c_custkey", [str(k) for k in range(1, 6)])
+
+
+@query("SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN event_id END) AS {t}, max(CASE WHEN event_type = '{t}' THEN value END) AS {t}_1" for t in TYPES) + " FROM events GROUP BY 1")
+def pivot_many(spark, d):
+    return T.pivot_many(_table(spark, d, "events"), ["user_id"], "event_type", ["event_id", "value"], TYPES)
+
+
+@query("SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN n END) AS {t}" for t in TYPES) + " FROM (SELECT user_id, event_type, count(*) n FROM events GROUP BY 1, 2) GROUP BY 1")
+def pivot_found_ids(spark, d):
+    n = _table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return T.pivot(n, ["user_id"], "event_type", "n")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey + 100, NULL FROM region UNION ALL SELECT 999, 'extra'")
+def append_rows(spark, d):
+    n = _table(spark, d, "nation").select("n_nationkey", "n_name")
+    r = _table(spark, d, "region").select((F.col("r_regionkey") + 100).alias("n_nationkey"))
+    return S.push(S.append(n, r, "subset"), {"n_nationkey": 999, "n_name": "extra"})
+
+
+@query("SELECT user_id, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS spread FROM events GROUP BY 1")
+def agg_user_function(spark, d):
+    import numpy as np
+
+    f = A.user(lambda x: float(np.quantile(x, 0.9) - np.quantile(x, 0.1)))
+    return _table(spark, d, "events").groupBy("user_id").agg(f("value").alias("s")).select("user_id", F.round("s", 6).alias("spread"))
+
+
+@query("SELECT user_id, pos, value AS top FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) - 1 AS pos FROM events) WHERE pos < 4")
+def combine_vector_result(spark, d):
+    got = Frame(_table(spark, d, "events")).groupby("user_id").combine(("value", lambda c: A.topk(c, 4), "t"))
+    return got.df.select("user_id", F.posexplode("t").alias("pos", "top")).select("user_id", F.col("pos").cast("long").alias("pos"), "top")
+
+
+@query("SELECT l_returnflag, round(sum(q * di), 2) AS w, min(q) lo, max(q) hi FROM (SELECT l_returnflag, nullif(l_quantity, 10.0) q, CAST(round(l_discount * 100) AS INT) di FROM lineitem) GROUP BY 1")
+def agg_wsum_extrema(spark, d):
+    got = _line(spark, d).groupBy("l_returnflag").agg(F.round(A.wsum("q", "di"), 2).alias("w"), A.extrema("q").alias("e"))
+    return got.select("l_returnflag", "w", F.col("e.min").alias("lo"), F.col("e.max").alias("hi"))
+
+
+@query("SELECT max(c_acctbal) c_acctbal, CAST(sum(c_nationkey) AS BIGINT) c_nationkey FROM customer")
+def mapcols_scalar(spark, d):
+    return _table(spark, d, "customer").agg(A.maximum("c_acctbal").alias("c_acctbal"), A.sum_("c_nationkey").alias("c_nationkey"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS start, count(*) n FROM events GROUP BY 1, 2")
+def window_by_day(spark, d):
+    e = _table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("t", "1 day"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY c_custkey) = 5 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def set_cell(spark, d):
+    c = S.row_ids(_table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "_row")
+    return c.select("c_custkey", F.when(F.col("_row") == 5, 0.0).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+
+
+@query("SELECT l_orderkey * 2 + 1 AS l_orderkey, l_partkey * 2 + 1 AS l_partkey FROM lineitem")
+def broadcast_arithmetic(spark, d):
+    return Frame(_table(spark, d, "lineitem").select("l_orderkey", "l_partkey")).map(lambda c: c * 2 + 1).df
+
+
+@query("SELECT p_partkey, nullif(rtrim(substr(p_brand, 1, 6)), '') AS brand, rtrim(p_type) = rtrim(p_type || '  ') AS same FROM part")
+def fixed_width_text(spark, d):
+    from tessera.sources.io import fixed_width
+
+    p = _table(spark, d, "part")
+    return p.select("p_partkey", fixed_width(F.col("p_brand"), 6).alias("brand"), (fixed_width(F.col("p_type")) == fixed_width(F.concat("p_type", F.lit("  ")))).alias("same"))

@@ -92,3 +92,22 @@ def cor(x, y):
 
 def cov(x, y):
     return F.covar_samp(_c(x), _c(y))
+
+
+def user(f, kind="double"):
+    """A numpy function of one column as an aggregate: the slow path, one group at a time."""
+    import pandas as pd
+
+    def run(x):
+        return f(x.dropna().to_numpy())
+
+    run.__annotations__ = {"x": pd.Series, "return": float}
+    run.__name__ = getattr(f, "__name__", "function")
+    udf = F.pandas_udf(run, kind)
+    return lambda c: udf(_c(c))
+
+
+def topk(c, k, rev=False):
+    """Up to k largest values of a group, descending, as a list; rev: smallest, ascending."""
+    got = F.array_sort(F.collect_list(_c(c)))
+    return F.slice(got if rev else F.reverse(got), 1, k)

@@ -209,3 +209,18 @@ def close_join(left, right, equal, key, order_left, order_right, direction="back
     if op:
         cols = [F.when(p.isNotNull() & n.isNotNull(), op(p[f"_p_{c}"], n[f"_p_{c}"])).alias(names[c]) for c in rest]
     return out.select(*left.columns, *cols)
+
+
+def with_obs_ids(left: DataFrame, right: DataFrame, on, left_id: str, right_id: str, how: str = "left", name: str = "obs_id") -> DataFrame:
+    """A join that keeps the row ids of both sides as <name>_left and <name>_right."""
+    ls, rs = left.withColumnRenamed(left_id, f"{name}_left"), right.withColumnRenamed(right_id, f"{name}_right")
+    return {"left": left_join, "inner": inner_join, "outer": outer_join}[how](ls, rs, on)
+
+
+def exploding(left: DataFrame, right: DataFrame, on, times: int = 10) -> bool:
+    """Whether a join would give more than ``times`` rows for each left row: one aggregation of keys a side."""
+    keys = keys_of(on)
+    a = left.groupBy(*[F.col(x).alias(f"k{i}") for i, (x, _) in enumerate(keys)]).agg(F.count("*").alias("n"))
+    b = right.groupBy(*[F.col(y).alias(f"r{i}") for i, (_, y) in enumerate(keys)]).agg(F.count("*").alias("m"))
+    got = a.join(b, both(a[f"k{i}"].eqNullSafe(b[f"r{i}"]) for i in range(len(keys)))).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    return got > times * max(1, left.count())

@@ -63,3 +63,15 @@ def repeat(df: DataFrame, inner: int = 1, outer: int = 1, freq=None) -> DataFram
     """Each row ``inner`` x ``outer`` times, or as often as ``freq`` says (0 or null drops it)."""
     n = (F.col(freq) if isinstance(freq, str) else freq) if freq is not None else F.lit(inner * outer)
     return df.where(n > 0).withColumn("_r", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("_r")
+
+
+def transpose(df: DataFrame, cols: list[str], id_: str, values=None, variable="_variables_") -> DataFrame:
+    """Rows become columns, named by ``id_``; a row for each column of ``cols``."""
+    return pivot(df.unpivot([id_], cols, variable, "_value"), [variable], id_, "_value", values)
+
+
+def pivot_many(df: DataFrame, group: list[str], id_: str, cols: list[str], values) -> DataFrame:
+    """Wide form of several value columns: id names for the first, name_1, name_2, ... for the next."""
+    hit = {v: F.col(id_).cast("string").eqNullSafe(F.lit(v)) for v in values}
+    aggs = [F.max(F.when(hit[v], F.col(c))).alias(v if k == 0 else f"{v}_{k}") for k, c in enumerate(cols) for v in values]
+    return df.groupBy(*group).agg(*aggs)

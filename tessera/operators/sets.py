@@ -81,3 +81,28 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 def delete_at(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
     return row_ids(df, order, "_row").where(~F.col("_row").isin(positions)).drop("_row")
+
+
+def append(df: DataFrame, rows: DataFrame, cols: str = "setequal") -> DataFrame:
+    """Rows added below; subset: missing columns become null; types follow df."""
+    have = dict(rows.dtypes)
+    if cols != "subset" and set(have) != set(df.columns):
+        raise ValueError("columns differ")
+    return df.unionByName(rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes]))
+
+
+def push(df: DataFrame, row: dict) -> DataFrame:
+    one = df.sparkSession.createDataFrame([tuple(row.get(c) for c in df.columns)], df.schema)
+    return df.unionByName(one)
+
+
+def sort_permutation(df: DataFrame, keys: list, row_id: str, name: str = "position") -> DataFrame:
+    """Row ids with their positions in the sorted order."""
+    return df.select(F.col(row_id), F.row_number().over(W.orderBy(*keys, row_id)).cast("long").alias(name))
+
+
+def approx_equal(a: DataFrame, b: DataFrame, key: str, cols: list[str], tol: float = 1e-9) -> bool:
+    """Whether two tables agree on numeric columns by key."""
+    j = a.alias("a").join(b.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
+    bad = reduce(lambda x, y: x | y, [~(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) | F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= tol, F.lit(False))) for c in cols])
+    return j.where(bad).isEmpty()
