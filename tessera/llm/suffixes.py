@@ -38,7 +38,7 @@ from tessera.llm._common import buffer_of, inverse_powers, mix, prefix_hash, ran
 WINDOW = 200
 KMER = 32
 RUN = 1024
-GROUP = 1024
+GROUP = 4096
 BUFFER = 4 << 20
 
 
