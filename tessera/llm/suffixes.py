@@ -39,7 +39,7 @@ WINDOW = 200
 KMER = 32
 RUN = 1024
 GROUP = 4096
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 
 
 def kmer_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
         for b in batches:
             buf, offs = buffer_of(b.column(1))
             lo = 0
-            while lo < b.num_rows:  # buffers of about 4 MB, or one text
+            while lo < b.num_rows:  # buffers of about BUFFER bytes, or one text
                 hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + BUFFER, side="right")) - 1)
                 hi = min(hi, b.num_rows)
                 who, start, n, low, h, inner = passages(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], window)
