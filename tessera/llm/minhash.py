@@ -10,7 +10,9 @@
 5. Every candidate is confirmed on the full sets, recomputed from the texts. Members that do not link to
    their centre are compared with the others of their chunk (at most CHUNK members of one centre), so a
    star loses no link inside a chunk; larger stars are cut into chunks that all hold the centre.
-6. Confirmed links go through connected components.
+6. Confirmed links go through connected components. Members of a star of several chunks that are still not
+   in their centre's component are then compared with all members of that star, BLOCK by BLOCK of both, so
+   no star loses a link across chunks; a pair within one component needs no comparison.
 
 The number of bands for a threshold keeps the chance to miss a pair at the threshold under MISS.
 
@@ -35,6 +37,8 @@ WORDS = 5
 BAND_ROWS = 6
 MISS = 1e-8
 CHUNK = 64
+#: Members of a star, and those that ask, in one task of the comparison across chunks, about.
+BLOCK = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,8 +143,50 @@ def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(x) + len(y) - common)
 
 
-def confirm_chunk(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join each member to those it is similar to, as a forest; ids[0] is the centre."""
+def common_sizes(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of sorted sets xs with ys: products of membership matrices, ``width`` values at a time."""
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    flat = [np.concatenate(z) if z else np.zeros(0, np.uint64) for z in (xs, ys)]
+    values = np.intersect1d(*flat)
+    sides = []
+    for z, sets in zip(flat, (xs, ys), strict=True):
+        at = np.searchsorted(values, z)
+        hit = np.flatnonzero(at < len(values))
+        hit = hit[values[at[hit]] == z[hit]]
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[hit], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit]))
+    for lo in range(0, len(values), width):
+        parts = []
+        for (at, who), sets in zip(sides, (xs, ys), strict=True):
+            a, b = np.searchsorted(at, [lo, lo + width])
+            m = np.zeros((len(sets), width), np.float32)
+            m[who[a:b], at[a:b] - lo] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def confirm_block(asks: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between those that ask and members, as a forest."""
+    if not asks or not members:
+        return []
+    both = common_sizes([s for _, s in asks], [s for _, s in members])
+    size = np.array([len(s) for _, s in asks])[:, None] + np.array([len(s) for _, s in members])[None, :]
+    root, links = {i: i for i, _ in asks + members}, []
+    for x, y in zip(*np.nonzero(den * both >= num * (size - both)), strict=True):
+        ends = a, b = [asks[x][0], members[y][0]]
+        for k in (0, 1):
+            while root[ends[k]] != ends[k]:
+                root[ends[k]] = root[root[ends[k]]]
+                ends[k] = root[ends[k]]
+        if ends[0] != ends[1]:
+            root[ends[1]] = ends[0]
+            links.append((a, b))
+    return links
+
+
+def confirm_chunk(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join each member to those it is similar to, as a forest, and the members apart from ids[0], the centre."""
     root, links = list(range(len(ids))), []
 
     def find(i: int) -> int:
@@ -166,39 +212,99 @@ def confirm_chunk(ids: list[int], sets: list[np.ndarray], num: int, den: int) ->
                 done.add((min(i, j), max(i, j)))
                 if _similar(sets[i], sets[j], num, den):
                     link(i, j)
-    return links
+    return links, [ids[j] for j in apart]
 
 
 def confirm(texts: DataFrame, edges: DataFrame, num: int, den: int, width: int = WORDS) -> DataFrame:
-    """Links (a, b) among candidates. texts: (id, data); edges: (centre, member), distinct."""
+    """(a, b, apart): links among candidates, and, apart, (centre, member) of stars of several chunks that are not similar.
+
+    texts: (id, data); edges: (centre, member), distinct.
+    """
     chunk = F.pmod(F.xxhash64("member", F.lit(3)), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).cast("int")
-    sized = edges.join(edges.groupBy("centre").agg(F.count("*").alias("n")), "centre").select("centre", chunk.alias("chunk"), "member")
-    want = sized.select(F.col("member").alias("id"), "centre", "chunk")
-    want = want.unionAll(sized.select(F.col("centre").alias("id"), "centre", "chunk").distinct())
+    sized = edges.join(edges.groupBy("centre").agg(F.count("*").alias("n")), "centre").select("centre", chunk.alias("chunk"), (F.col("n") > CHUNK).alias("wide"), "member")
+    want = sized.select(F.col("member").alias("id"), "centre", "chunk", "wide")
+    want = want.unionAll(sized.select(F.col("centre").alias("id"), "centre", "chunk", "wide").distinct())
     # Always the shuffled plan: the list of candidates grows with the corpus, and a broadcast that fits small inputs only
     # would make cost jump where it stops fitting.
-    rows = want.hint("merge").join(texts, "id").select("centre", "chunk", (F.col("id") != F.col("centre")).alias("other"), "id", "data")
+    rows = want.hint("merge").join(texts, "id").select("centre", "chunk", (F.col("id") != F.col("centre")).alias("other"), "id", "wide", "data")
     rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "other", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, ids, sets = (None, None, False), [], []
+
+        def flush() -> list[tuple[int, int, bool]]:
+            links, apart = confirm_chunk(ids, sets, num, den)
+            return [(a, b, False) for a, b in links] + [(key[0], b, True) for b in apart if key[2]]
+
         for b in batches:
             found = []
-            own = shingle_sets(*buffer_of(b.column(4)), width)
-            for c, k, i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), own, strict=True):
-                if (c, k) != key:
-                    found += confirm_chunk(ids, sets, num, den)
-                    key, ids, sets = (c, k), [], []
+            own = shingle_sets(*buffer_of(b.column(5)), width)
+            for c, k, i, w, s in zip(*(b.column(j).to_pylist() for j in (0, 1, 3, 4)), own, strict=True):
+                if (c, k, w) != key:
+                    found += flush()
+                    key, ids, sets = (c, k, w), [], []
                 if ids and ids[-1] == i:  # rows that share an id: the set that is last in this order speaks for it
                     sets[-1] = max(sets[-1], s, key=lambda x: (len(x), x.tobytes()))
                     continue
                 ids.append(i)
                 sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
-        found = confirm_chunk(ids, sets, num, den)
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+            yield _link_batch(found)
+        yield _link_batch(flush())
+
+    return rows.mapInArrow(run, "a bigint, b bigint, apart boolean")
+
+
+def _link_batch(found: list[tuple]) -> pa.RecordBatch:
+    kinds = {"a": pa.int64(), "b": pa.int64(), "apart": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate(kinds.values())], names=list(kinds))
+
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+def confirm_across(texts: DataFrame, edges: DataFrame, asks: DataFrame, num: int, den: int, width: int = WORDS) -> DataFrame:
+    """Links (a, b) between the members ``asks`` (centre, member) and all members of the same star, block by block of both."""
+    some = asks.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("gs"))
+    star = edges.join(some, "centre")
+    size = star.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("js"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("member", F.lit(5)), F.col(c)).cast("int")
+    own = star.join(size, "centre").select(F.col("member").alias("id"), "centre", upto("gs").alias("g"), dealt("js").alias("j"), F.lit(False).alias("ask"))
+    ask = asks.join(some, "centre").join(size, "centre").select(F.col("member").alias("id"), "centre", dealt("gs").alias("g"), upto("js").alias("j"), F.lit(True).alias("ask"))
+    rows = own.unionAll(ask).hint("merge").join(texts, "id").select("centre", "g", "j", "ask", "id", "data")
+    rows = rows.repartition("centre", "g", "j").sortWithinPartitions("centre", "g", "j", "ask", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [])
+        for b in batches:
+            found = []
+            own = shingle_sets(*buffer_of(b.column(5)), width)
+            for c, g, j, a, i, s in zip(*(b.column(k).to_pylist() for k in range(5)), own, strict=True):
+                if (c, g, j) != key:
+                    found += confirm_block(held[1], held[0], num, den)
+                    key, held = (c, g, j), ([], [])
+                if held[a] and held[a][-1][0] == i:
+                    held[a][-1] = (i, max(held[a][-1][1], s, key=lambda x: (len(x), x.tobytes())))
+                else:
+                    held[a].append((i, s))
+            yield _link_batch([(*x, False) for x in found])
+        yield _link_batch([(*x, False) for x in confirm_block(held[1], held[0], num, den)])
+
+    return rows.mapInArrow(run, "a bigint, b bigint, apart boolean").select("a", "b")
+
+
+def linked(texts: DataFrame, edges: DataFrame, num: int, den: int, width: int = WORDS) -> DataFrame:
+    """(node, root) of the components of all links within stars."""
+    found = stage(confirm(texts, edges, num, den, width), "links")
+    comp = components(found.where("not apart"))
+    apart = found.where("apart").select(F.col("a").alias("centre"), F.col("b").alias("member"))
+    if apart.isEmpty():
+        return comp
+    for c in ("centre", "member"):
+        apart = apart.join(comp.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    away = F.coalesce("centre_root", "centre") != F.coalesce("member_root", "member")
+    asks = stage(apart.where(away).select("centre", "member"), "asks")
+    if asks.isEmpty():
+        return comp
+    more = confirm_across(texts, edges, asks, num, den, width)
+    return components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", num: int = 85, den: int = 100, width: int = WORDS) -> DataFrame:
@@ -212,8 +318,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n
     stars = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("centre"))
     edges = stage(member.join(stars, "key").where("id != centre").select("centre", F.col("id").alias("member")).distinct(), "edges")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("data")).where("id is not null")
-    links = confirm(texts, edges, num, den, width)
-    comp = components(links)
+    comp = linked(texts, edges, num, den, width)
     equal = some.select("id", "s1", "s2", "n_shingles").join(classes.select("s1", "s2", "n_shingles", F.col("r.id").alias("rep")), ["s1", "s2", "n_shingles"]).select("id", "rep")
     label = equal.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = feats.select("id", "n_shingles").join(label, "id", "left")

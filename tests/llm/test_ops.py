@@ -144,6 +144,40 @@ def test_near_duplicates_of_one_large_group(spark):
     same([tuple(r)[:3] for r in got], brute_near(rows, 85, 100))
 
 
+def test_near_duplicates_across_chunks_of_a_star(spark, monkeypatch):
+    """A family at about 0.8 of which pairs are closer: no link is lost across the chunks of its centre."""
+    monkeypatch.setattr(minhash, "CHUNK", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(1)
+
+    def edit(words, k):
+        at = set(rng.sample(range(len(words)), k))
+        return [f"x{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+    base, docs = [f"w{i}" for i in range(400)], {}
+    for i in range(60):
+        own = edit(base, 5)
+        docs[2 * i], docs[2 * i + 1] = " ".join(own), " ".join(edit(own, 4))
+    got = minhash.near_duplicates(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in docs.items()}
+    want = {i: i for i in docs}
+    for i in docs:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_common_sizes():
+    rng = np.random.Generator(np.random.PCG64(1))
+    xs = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 200, 90)]
+    ys = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (70, 1, 250)]
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert minhash.common_sizes(xs, ys, 16).tolist() == minhash.common_sizes(xs, ys).tolist() == want
+    assert minhash.common_sizes([], ys).shape == (0, 3)
+
+
 def test_sharding(spark, docs, edge, empty):
     rows = list(docs.items()) * 3
     for part in (20_000, 50):
