@@ -494,3 +494,22 @@ def fixed_width_text(spark, d):
 
     p = _table(spark, d, "part")
     return p.select("p_partkey", fixed_width(F.col("p_brand"), 6).alias("brand"), (fixed_width(F.col("p_type")) == fixed_width(F.concat("p_type", F.lit("  ")))).alias("same"))
+
+
+@query("""SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice < 100000) + 1 AS first_at, count(*) FILTER (WHERE o_totalprice <= 100000) AS last_at
+ FROM orders GROUP BY 1""")
+def search_sorted(spark, d):
+    x = F.lit(100000.0)
+    at = [F.col("o_totalprice")]
+    return _table(spark, d, "orders").groupBy("o_orderstatus").agg(A.search_first(*at, x).alias("first_at"), A.search_last(*at, x).alias("last_at"))
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
+def last_rows(spark, d):
+    return Frame(_table(spark, d, "events")).with_order("ts", "event_id").tail(25).select(["event_id", "ts", "event_type"]).df
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT NULL, NULL FROM range(3)")
+def resize_grow(spark, d):
+    r = _table(spark, d, "region")
+    return S.resize(r, "r_regionkey", 8).select("r_regionkey", "r_name")

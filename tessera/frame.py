@@ -151,6 +151,21 @@ class Frame:
     def head(self, n: int) -> Frame:
         return self._new(self.df.orderBy(*self.order).limit(n))
 
+    def tail(self, n: int) -> Frame:
+        """The last n rows in the stated order, in that order."""
+        last = self.df.orderBy(*[F.col(c).desc() for c in self.order]).limit(n)
+        return self._new(last.orderBy(*self.order))
+
+    def reverse(self) -> Frame:
+        return self._new(self.df.orderBy(*[F.col(c).desc() for c in self.order]))
+
+    def only(self):
+        """The single row; an error unless there is exactly one."""
+        rows = self.df.limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError("not exactly one row")
+        return rows[0]
+
     def topk(self, col: str, k: int, rev=False) -> Frame:
         c = F.col(col)
         return self._new(self.df.where(c.isNotNull()).orderBy(c.asc() if rev else c.desc(), *self.order).limit(k))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.nulls import isle, isless
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -86,6 +88,16 @@ def nunique(c):
     return F.countDistinct(_c(c)) + F.max(_c(c).isNull().cast("long"))
 
 
+def search_first(c, x):
+    """1-based place of the first value that is not below x, in the column's order (null last): a count, no sort."""
+    return F.count_if(isless(_c(c), x)) + 1
+
+
+def search_last(c, x):
+    """1-based place of the last value that is not above x; 0 if there is none."""
+    return F.count_if(isle(_c(c), x))
+
+
 def cor(x, y):
     return F.corr(_c(x), _c(y))
 

@@ -91,6 +91,16 @@ def append(df: DataFrame, rows: DataFrame, cols: str = "setequal") -> DataFrame:
     return df.unionByName(rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes]))
 
 
+def resize(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in the order; rows of nulls make up for what is missing."""
+    got = df.orderBy(order).limit(n)
+    short = n - got.count()
+    if short <= 0:
+        return got
+    nulls = df.sparkSession.range(short).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in df.schema])
+    return got.unionByName(nulls)
+
+
 def push(df: DataFrame, row: dict) -> DataFrame:
     one = df.sparkSession.createDataFrame([tuple(row.get(c) for c in df.columns)], df.schema)
     return df.unionByName(one)

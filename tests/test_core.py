@@ -166,6 +166,20 @@ def test_sets(spark):
     assert S.same_rows(small, small) and not S.same_rows(small, small.limit(1))
 
 
+def test_positions(spark):
+    f = Frame(spark.createDataFrame([(i, 10 - i) for i in range(6)], "x int, y int")).with_order("x")
+    assert [r.x for r in f.tail(2).df.collect()] == [4, 5]
+    assert [r.x for r in f.reverse().df.collect()] == [5, 4, 3, 2, 1, 0]
+    assert f.head(1).only().y == 10
+    with pytest.raises(ValueError, match="exactly one"):
+        f.only()
+    same(S.resize(f.df, "x", 2), [(0, 10), (1, 9)])
+    assert S.resize(f.df, "x", 8).where("x is null").count() == 2
+    v = spark.createDataFrame([(1,), (3,), (3,), (None,)], "v int")
+    got = v.agg(A.search_first("v", F.lit(3)), A.search_last("v", F.lit(3)), A.search_last("v", F.lit(None).cast("int")), A.search_first("v", F.lit(9))).first()
+    assert tuple(got) == (2, 3, 4, 4)
+
+
 def test_sources(spark, tmp_path):
     f = io.from_columns(spark, a=[1, 2], b="x")
     same(f, [(1, "x"), (2, "x")])
