@@ -13,14 +13,17 @@ windows that occur twice. A class met twice repeats in full.
 
 Marks go back to the passages, and each text drops the bytes that marked windows cover.
 
-Hot minimizers: a group of more than GROUP classes is dealt into sub-groups by a hash of the window, so
-that equal windows still meet; each sub-group holds the passages of its own windows. No group of texts,
-passages or marks is gathered beyond one text, one sub-group, or a buffer.
+Hot minimizers: a group of more than GROUP passages is dealt into chunks by the hash of the class, each sorted
+by itself. Equal windows of different chunks meet in a second step: each chunk gives one light row for
+each different window, and rows of one minimizer and one window hash are counted. A passage in any share
+of the corpus, each time in other surroundings, thus makes one row for each chunk there, not for each
+text. No group of texts, passages or marks is gathered beyond one text, one chunk, or a buffer.
 
 Edge cases: a null text is empty; texts under WINDOW bytes keep all; equal texts (repeated rows too) of
 WINDOW bytes or more lose all; rows are kept one for one, null ids included; an empty table gives an
 empty one; extra columns are ignored. Equality of passages is judged by 64 bits of hash among those
-of one 64-bit minimizer; equality inside the suffix array is judged on bytes.
+of one 64-bit minimizer, and so is equality of windows of different chunks; equality inside the suffix
+array is judged on bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm._common import buffer_of, inverse_powers, mix, prefix_hash, range_hash, read_table, small_batches, stage
@@ -224,6 +228,34 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"o": int(a), "l": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+_FOUND = pa.schema([("m_", pa.int64()), ("h_", pa.int64()), ("marks", pa.list_(pa.struct([("o", pa.int32()), ("l", pa.int32())]))), ("w", pa.int64()), ("met", pa.bool_())])
+
+
+def _found(m, h, marks, w=None, met=None) -> pa.RecordBatch:
+    """Rows of _FOUND; without ``w`` they are marks of classes."""
+    n = len(m)
+    cols = [m, h, marks, [None] * n if w is None else w, [True] * n if met is None else met]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FOUND.types, strict=True)], schema=_FOUND)
+
+
+def _windows(group: list[tuple[int, tuple]], hit: np.ndarray, prefix: np.ndarray, window: int, rows: int = 20000) -> Iterator[pa.RecordBatch]:
+    """One row for each different window of a chunk: its class, its start there as a mark of one, and whether it is marked."""
+    at = np.concatenate([np.arange(a, a + h[4]) for a, h in group])
+    own = np.repeat(np.arange(len(group)), [h[4] for _, h in group])
+    known = np.array([h[5] for _, h in group])
+    w, first = np.unique(range_hash(prefix, at, at + window), return_index=True)
+    cls = np.array([h[2] for _, h in group], np.int64)[own[first]]
+    start = at[first] - np.array([a for a, _ in group])[own[first]]
+    met = hit[at[first]] | known[own[first]]
+    for lo in range(0, len(w), rows):
+        part = slice(lo, lo + rows)
+        n = len(w[part])
+        ones = pa.StructArray.from_arrays([pa.array(start[part].astype(np.int32)), pa.array(np.ones(n, np.int32))], names=["o", "l"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), ones)
+        cols = [pa.array(np.full(n, group[0][1][0], np.int64)), pa.array(cls[part]), lists, pa.array(w[part].view(np.int64)), pa.array(met[part])]
+        yield pa.RecordBatch.from_arrays(cols, schema=_FOUND)
+
+
 def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, *carry, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each row.
 
@@ -268,52 +300,54 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
             for text_, qs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for q in qs:
                     part = text_[q["start"] : q["start"] + q["len"] + window - 1]
-                    subs = [(0, b"")]
-                    if q["subs"] > 1:
-                        arr = np.frombuffer(part, np.uint8)
-                        at = np.arange(q["len"])
-                        deal = range_hash(prefix_hash(arr), at, at + window) % np.uint64(q["subs"])
-                        subs = [(int(s), np.packbits(deal == s).tobytes()) for s in np.unique(deal)]
-                    for s, starts in subs:
-                        for col, v in zip(out, (q["m"], s, q["h"], part, q["len"], q["known"], starts), strict=True):
-                            col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
+                    for col, v in zip(out, (q["m"], q["h"] % q["subs"], q["h"], part, q["len"], q["known"], q["subs"] > 1), strict=True):
+                        col.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_()]
             for i in range(0, len(out[0]), 4000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4000], t) for c, t in zip(out, kinds, strict=True)], names=["m", "sub", "h", "part", "len", "known", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4000], t) for c, t in zip(out, kinds, strict=True)], names=["m", "sub", "h", "part", "len", "known", "hot"])
 
-    pieces = texts.join(asked.hint("merge"), texts["key"] == F.col("of")).select("data", "n", "qs").mapInArrow(slices, "m bigint, sub int, h bigint, part binary, len int, known boolean, starts binary")
+    pieces = texts.join(asked.hint("merge"), texts["key"] == F.col("of")).select("data", "n", "qs").mapInArrow(slices, "m bigint, sub int, h bigint, part binary, len int, known boolean, hot boolean")
     pieces = pieces.repartition("m", "sub").sortWithinPartitions("m", "sub")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Marks of classes (w null), and of each chunk of a hot minimizer its different windows by hash w; met: marked already."""
         held: list[tuple] = []
         size, last = 0, None
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             buf = np.frombuffer(b"".join(h[3] for h in held), np.uint8) if held else np.zeros(0, np.uint8)
             want, at, res = np.zeros(len(buf), bool), 0, []
             for h in held:
-                want[at : at + h[4]] = np.unpackbits(np.frombuffer(h[6], np.uint8), count=h[4]).astype(bool) if h[6] else True
+                want[at : at + h[4]] = True
                 at += len(h[3])
             hit, at = repeated(buf, want, window) if len(buf) else want, 0
-            for h in held:
+            prefix = prefix_hash(buf) if any(h[6] for h in held) else None
+            group: list[tuple[int, tuple]] = []
+            for k, h in enumerate(held):
                 if not h[5] and (runs := _runs(hit[at : at + h[4]])):
                     res.append((h[0], h[2], runs))
+                if h[6]:
+                    group.append((at, h))
                 at += len(h[3])
-            cols = list(zip(*res, strict=True)) if res else [()] * 3
-            kinds = [pa.int64()] * 2 + [pa.list_(pa.struct([("o", pa.int32()), ("l", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["m_", "h_", "marks"])
+                if group and (k + 1 == len(held) or held[k + 1][:2] != h[:2]):
+                    yield from _windows(group, hit, prefix, window)
+                    group = []
+            yield _found([r[0] for r in res], [r[1] for r in res], [r[2] for r in res])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:2] != last and size > BUFFER:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
                 last = row[:2]
                 held.append(row)
                 size += len(row[3])
-        yield flush()
+        yield from flush()
 
-    marks = pieces.mapInArrow(sort, f"m_ bigint, h_ bigint, marks {mark}").unionAll(whole)
+    marks = pieces.mapInArrow(sort, f"m_ bigint, h_ bigint, marks {mark}, w bigint, met boolean")
+    # one row a chunk for each window: a window of two chunks occurs twice; rows of marks stand alone and pass
+    twins = F.count("w").over(W.partitionBy("m_", F.coalesce("w", "h_"), F.col("w").isNull()))
+    marks = marks.withColumn("twins", twins).where("w is null or (twins > 1 and not met)").select("m_", "h_", "marks").unionAll(whole)
     hits = found.select("key", "place", "m", "h").join(marks.hint("merge"), (F.col("m") == F.col("m_")) & (F.col("h") == F.col("h_")))
     hits = hits.select(F.col("key").alias("of"), F.floor(F.col("place") / 2).cast("int").alias("start"), F.explode("marks").alias("x"))
     # equal texts bring equal marks: a set, built before the exchange

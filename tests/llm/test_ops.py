@@ -122,6 +122,21 @@ def test_spans_hot_minimizer(spark, monkeypatch):
     same([tuple(r) for r in suffixes.spans(spark.createDataFrame(rows, SCHEMA)).collect()], [(i, *w) for (i, _), w in zip(rows, want, strict=True)])
 
 
+def test_spans_hot_passage_in_other_surroundings(spark, monkeypatch):
+    """A passage longer than the window in all texts, and one that only two texts hold, perhaps in different chunks."""
+    monkeypatch.setattr(suffixes, "GROUP", 4)
+    rng = random.Random(5)
+    word = lambda n=150: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, phrase = word(330), "this very common line stands in each of these texts, word for word as it is"
+    rows = [(i, word() + hot + word()) for i in range(60)]
+    for i in range(100, 140, 2):
+        twin = word(70) + phrase + word(70)
+        rows += [(i, word() + twin + word()), (i + 1, word() + twin + word())]
+    want = brute_repeats([t.encode() for _, t in rows])
+    assert sum(w[1] > 0 for w in want) == 100
+    same([tuple(r) for r in suffixes.spans(spark.createDataFrame(rows, SCHEMA)).collect()], [(i, *w) for (i, _), w in zip(rows, want, strict=True)])
+
+
 @pytest.mark.parametrize("num", [80, 85])
 def test_near_duplicates(spark, docs, edge, empty, num):
     rows = list(docs.items())
