@@ -14,10 +14,10 @@ windows that occur twice. A class met twice repeats in full.
 Marks go back to the passages, and each text drops the bytes that marked windows cover.
 
 Hot minimizers: a group of more than GROUP passages is dealt into chunks by the hash of the class, each sorted
-by itself. Equal windows of different chunks meet in a second step: each chunk gives one light row for
-each different window, and rows of one minimizer and one window hash are counted. A passage in any share
-of the corpus, each time in other surroundings, thus makes one row for each chunk there, not for each
-text. No group of texts, passages or marks is gathered beyond one text, one chunk, or a buffer.
+by itself. Equal windows of different chunks meet in a second step: each chunk gives the hash of each
+different window once (21 bytes), dealt into as many buckets as there are chunks. A passage in any share of
+the corpus, each time in other surroundings, thus counts once for each chunk there, not for each text. No
+group of texts, passages or marks is gathered beyond one text, one chunk, one bucket, or a buffer.
 
 Edge cases: a null text is empty; texts under WINDOW bytes keep all; equal texts (repeated rows too) of
 WINDOW bytes or more lose all; rows are kept one for one, null ids included; an empty table gives an
@@ -33,8 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm._common import buffer_of, inverse_powers, mix, prefix_hash, range_hash, read_table, small_batches, stage
@@ -228,32 +228,42 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"o": int(a), "l": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-_FOUND = pa.schema([("m_", pa.int64()), ("h_", pa.int64()), ("marks", pa.list_(pa.struct([("o", pa.int32()), ("l", pa.int32())]))), ("w", pa.int64()), ("met", pa.bool_())])
+_MARKS = pa.list_(pa.struct([("o", pa.int32()), ("l", pa.int32())]))
+_FOUND = pa.schema([("m_", pa.int64()), ("h_", pa.int64()), ("marks", _MARKS), ("bucket", pa.int32()), ("windows", pa.binary())])
+_ROW = np.dtype([("w", "u8"), ("h", "i8"), ("o", "i4"), ("met", "?")])
 
 
-def _found(m, h, marks, w=None, met=None) -> pa.RecordBatch:
-    """Rows of _FOUND; without ``w`` they are marks of classes."""
-    n = len(m)
-    cols = [m, h, marks, [None] * n if w is None else w, [True] * n if met is None else met]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FOUND.types, strict=True)], schema=_FOUND)
+def _found(cols, schema: pa.Schema = _FOUND) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def _windows(group: list[tuple[int, tuple]], hit: np.ndarray, prefix: np.ndarray, window: int, rows: int = 20000) -> Iterator[pa.RecordBatch]:
-    """One row for each different window of a chunk: its class, its start there as a mark of one, and whether it is marked."""
-    at = np.concatenate([np.arange(a, a + h[4]) for a, h in group])
-    own = np.repeat(np.arange(len(group)), [h[4] for _, h in group])
-    known = np.array([h[5] for _, h in group])
+def _windows(group: list[tuple[int, tuple]], hit: np.ndarray, prefix: np.ndarray, window: int) -> pa.RecordBatch:
+    """The different windows of a chunk by hash w, with class h, start o there and whether marked already: packed, a row a bucket of w."""
+    at = np.concatenate([np.arange(a, a + row[4]) for a, row in group])
+    own = np.repeat(np.arange(len(group)), [row[4] for _, row in group])
     w, first = np.unique(range_hash(prefix, at, at + window), return_index=True)
-    cls = np.array([h[2] for _, h in group], np.int64)[own[first]]
-    start = at[first] - np.array([a for a, _ in group])[own[first]]
-    met = hit[at[first]] | known[own[first]]
-    for lo in range(0, len(w), rows):
-        part = slice(lo, lo + rows)
-        n = len(w[part])
-        ones = pa.StructArray.from_arrays([pa.array(start[part].astype(np.int32)), pa.array(np.ones(n, np.int32))], names=["o", "l"])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), ones)
-        cols = [pa.array(np.full(n, group[0][1][0], np.int64)), pa.array(cls[part]), lists, pa.array(w[part].view(np.int64)), pa.array(met[part])]
-        yield pa.RecordBatch.from_arrays(cols, schema=_FOUND)
+    at, own = at[first], own[first]
+    x = np.zeros(len(w), _ROW)
+    x["w"], x["h"] = w, np.array([row[2] for _, row in group], np.int64)[own]
+    x["o"] = at - np.array([a for a, _ in group])[own]
+    x["met"] = hit[at] | np.array([row[5] for _, row in group])[own]
+    bucket = (w % np.uint64(group[0][1][6])).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    names, cuts = np.unique(bucket[order], return_index=True)
+    n = len(names)
+    packs = [p.tobytes() for p in np.split(x[order], cuts[1:])]
+    return _found([[group[0][1][0]] * n, [None] * n, [None] * n, names, packs])
+
+
+def _twins(m: int, packs: list[bytes]) -> pa.RecordBatch:
+    """Marks of the windows that two chunks hold, by class; those that are marked already are left out."""
+    x = np.frombuffer(b"".join(packs), _ROW)
+    _, inv, n = np.unique(x["w"], return_inverse=True, return_counts=True)
+    x = np.sort(x[(n[inv] > 1) & ~x["met"]], order=["h", "o"])
+    cuts = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]])) if len(x) else np.zeros(0, np.int64)
+    ones = pa.StructArray.from_arrays([pa.array(x["o"]), pa.array(np.ones(len(x), np.int32))], names=["o", "l"])
+    marks = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(x)).astype(np.int32)), ones)
+    return _found([[m] * len(cuts), x["h"][cuts], marks], pa.schema(list(_FOUND)[:3]))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -300,17 +310,17 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
             for text_, qs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for q in qs:
                     part = text_[q["start"] : q["start"] + q["len"] + window - 1]
-                    for col, v in zip(out, (q["m"], q["h"] % q["subs"], q["h"], part, q["len"], q["known"], q["subs"] > 1), strict=True):
+                    for col, v in zip(out, (q["m"], q["h"] % q["subs"], q["h"], part, q["len"], q["known"], q["subs"]), strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int32()]
             for i in range(0, len(out[0]), 4000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4000], t) for c, t in zip(out, kinds, strict=True)], names=["m", "sub", "h", "part", "len", "known", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4000], t) for c, t in zip(out, kinds, strict=True)], names=["m", "sub", "h", "part", "len", "known", "subs"])
 
-    pieces = texts.join(asked.hint("merge"), texts["key"] == F.col("of")).select("data", "n", "qs").mapInArrow(slices, "m bigint, sub int, h bigint, part binary, len int, known boolean, hot boolean")
+    pieces = texts.join(asked.hint("merge"), texts["key"] == F.col("of")).select("data", "n", "qs").mapInArrow(slices, "m bigint, sub int, h bigint, part binary, len int, known boolean, subs int")
     pieces = pieces.repartition("m", "sub").sortWithinPartitions("m", "sub")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks of classes (w null), and of each chunk of a hot minimizer its different windows by hash w; met: marked already."""
+        """Marks of classes, and of each chunk of a hot minimizer its different windows, packed."""
         held: list[tuple] = []
         size, last = 0, None
 
@@ -321,18 +331,18 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                 want[at : at + h[4]] = True
                 at += len(h[3])
             hit, at = repeated(buf, want, window) if len(buf) else want, 0
-            prefix = prefix_hash(buf) if any(h[6] for h in held) else None
+            prefix = prefix_hash(buf) if any(h[6] > 1 for h in held) else None
             group: list[tuple[int, tuple]] = []
             for k, h in enumerate(held):
                 if not h[5] and (runs := _runs(hit[at : at + h[4]])):
-                    res.append((h[0], h[2], runs))
-                if h[6]:
+                    res.append((h[0], h[2], runs, h[1]))
+                if h[6] > 1:
                     group.append((at, h))
                 at += len(h[3])
                 if group and (k + 1 == len(held) or held[k + 1][:2] != h[:2]):
-                    yield from _windows(group, hit, prefix, window)
+                    yield _windows(group, hit, prefix, window)
                     group = []
-            yield _found([r[0] for r in res], [r[1] for r in res], [r[2] for r in res])
+            yield _found([[r[k] for r in res] for k in range(4)] + [[None] * len(res)])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -344,10 +354,24 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                 size += len(row[3])
         yield from flush()
 
-    marks = pieces.mapInArrow(sort, f"m_ bigint, h_ bigint, marks {mark}, w bigint, met boolean")
-    # one row a chunk for each window: a window of two chunks occurs twice; rows of marks stand alone and pass
-    twins = F.count("w").over(W.partitionBy("m_", F.coalesce("w", "h_"), F.col("w").isNull()))
-    marks = marks.withColumn("twins", twins).where("w is null or (twins > 1 and not met)").select("m_", "h_", "marks").unionAll(whole)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Marks as they are; windows of one bucket are held until the next begins."""
+        held: list[bytes] = []
+        last = None
+        for b in batches:
+            packed = b.column(4).is_valid()
+            yield b.filter(pc.invert(packed)).select([0, 1, 2])
+            for m, bucket, pack in zip(*(b.filter(packed).column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+                if (m, bucket) != last:
+                    if len(held) > 1:
+                        yield _twins(last[0], held)
+                    held, last = [], (m, bucket)
+                held.append(pack)
+        if len(held) > 1:
+            yield _twins(last[0], held)
+
+    marks = pieces.mapInArrow(sort, f"m_ bigint, h_ bigint, marks {mark}, bucket int, windows binary")
+    marks = marks.repartition("m_", "bucket").sortWithinPartitions("m_", "bucket").mapInArrow(meet, f"m_ bigint, h_ bigint, marks {mark}").unionAll(whole)
     hits = found.select("key", "place", "m", "h").join(marks.hint("merge"), (F.col("m") == F.col("m_")) & (F.col("h") == F.col("h_")))
     hits = hits.select(F.col("key").alias("of"), F.floor(F.col("place") / 2).cast("int").alias("start"), F.explode("marks").alias("x"))
     # equal texts bring equal marks: a set, built before the exchange
