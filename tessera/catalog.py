@@ -419,7 +419,7 @@ def obs_ids(spark, d):
 
 @query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS position FROM events")
 def sort_permutation(spark, d):
-    return S.sort_permutation(_table(spark, d, "events"), [F.desc("value")], "event_id")
+    return S.sort_permutation(_table(spark, d, "events"), "value", "event_id", desc=True)
 
 
 @query("SELECT 'c_acctbal' AS _variables_, " + ", ".join(f'max(CASE WHEN c_custkey = {k} THEN c_acctbal END) AS "{k}"' for k in range(1, 6)) + " FROM customer UNION ALL SELECT 'n', " + ", ".join(f"max(CASE WHEN c_custkey = {k} THEN CAST(c_nationkey AS DOUBLE) END)" for k in range(1, 6)) + " FROM customer")
@@ -513,3 +513,68 @@ def last_rows(spark, d):
 def resize_grow(spark, d):
     r = _table(spark, d, "region")
     return S.resize(r, "r_regionkey", 8).select("r_regionkey", "r_name")
+
+
+_HIGH = "(SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS lo, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) + 50.0 END AS hi FROM orders WHERE o_orderkey % 11 = 0 AND o_totalprice > 100000)"
+
+
+def _price_ranges(spark, d):
+    o, price = _table(spark, d, "orders"), F.col("o_totalprice").cast("double")
+    ends = F.when(F.col("o_orderkey") % 7 != 0, price + 50.0)
+    return o.where("o_orderkey % 11 = 0 and o_totalprice > 100000").select(F.col("o_orderkey").alias("k"), price.alias("lo"), ends.alias("hi"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM {_HIGH} r WHERE r.hi IS NOT NULL AND l_extendedprice >= lo AND l_extendedprice < hi)")
+def semi_join_range(spark, d):
+    r = _price_ranges(spark, d).where("hi is not null")
+    t = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("x"))
+    return J.range_join(t, r, None, "x", "lo", "hi", (False, True), how="left_semi", bin_width=200.0).select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM {_HIGH} r WHERE r.hi IS NOT NULL AND l_extendedprice >= lo AND l_extendedprice < hi)")
+def anti_join_range(spark, d):
+    r = _price_ranges(spark, d).where("hi is not null")
+    t = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("x"))
+    return J.range_join(t, r, None, "x", "lo", "hi", (False, True), how="left_anti", bin_width=200.0).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT event_id, CAST(sum(user_id) OVER w AS BIGINT) AS s, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events
+ WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def running_whole_table(spark, d):
+    e = _table(spark, d, "events").select("event_id", "user_id", "value")
+    for col, how, name in (("user_id", "sum", "s"), ("value", "min", "lo"), ("value", "max", "hi")):
+        e = S.running(e, col, "event_id", how, name)
+    return e.select("event_id", "s", "lo", "hi")
+
+
+@query("""SELECT event_id, CAST(sum(c) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM
+ (SELECT event_id, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) AND row_number() OVER (ORDER BY event_id) > 1 THEN 0 ELSE 1 END AS c FROM events)""")
+def run_ids(spark, d):
+    return S.runs(_table(spark, d, "events"), [F.col("event_type")], "event_id", "run").select("event_id", "run")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 3")
+def topk_rows_of_groups(spark, d):
+    return S.top_rows(_table(spark, d, "events"), ["user_id"], "value", 3, ["event_id"]).select("user_id", "event_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events) WHERE n <= 2")
+def topk_positions(spark, d):
+    got = Frame(_table(spark, d, "events")).groupby("user_id").combine_rows(("value", lambda c: A.topkperm(c, "event_id", 2, rev=True), "event_id"))
+    return got.df
+
+
+@query("SELECT c_custkey, c_acctbal FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) WHERE n BETWEEN 11 AND 30")
+def slice_of_rows(spark, d):
+    return S.slice_rows(_table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 11, 30)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT max(n_nationkey) FROM nation UNION ALL SELECT min(n_nationkey) FROM nation)")
+def pop_both_ends(spark, d):
+    n = _table(spark, d, "nation").select("n_nationkey", "n_name")
+    return S.pop(S.pop(n, "n_nationkey"), "n_nationkey", first=True)
+
+
+@query("SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY p_partkey) IN (1, 4) THEN 'none' ELSE p_name END AS p_name FROM part")
+def set_cells_at(spark, d):
+    return S.set_at(_table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", [1, 4], p_name="none")

@@ -10,11 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import aggs
 from tessera.functions.nulls import both, either, matches, sort_key, truth
+from tessera.operators import sets
 from tessera.selectors import Not, make_unique, resolve
 
 
@@ -107,6 +107,17 @@ class Frame:
         ok = [c for c in names if new[c].dataType == self.df.schema[c].dataType]
         return self._new(self.df.withColumns({c: f(F.col(c)) for c in ok}))
 
+    def map_cols(self, fs, cols=None) -> Frame:
+        """One row: an aggregate of each column."""
+        names = resolve(self.columns, cols)
+        fs = fs if isinstance(fs, list) else [fs] * len(names)
+        return Frame(self.df.agg(*[f(c).alias(c) for c, f in zip(names, fs, strict=True)]))
+
+    def disallow_missing(self, cols=None) -> Frame:
+        """The same rows; a null in these columns raises when they are read."""
+        names = resolve(self.columns, cols)
+        return self._new(self.df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"null in {c}")).cast(self.df.schema[c].dataType)) for c in names}))
+
     def mask(self, by, cols=None, mapformats=True, missings=False) -> Frame:
         names = resolve(self.columns, cols)
         bys = by if isinstance(by, list) else [by] * len(names)
@@ -144,9 +155,7 @@ class Frame:
         """Whether the rows, in the stated order, are sorted by these columns."""
         names = resolve(self.columns, cols)
         rank = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in names])
-        prev = F.lag(rank).over(W.orderBy(*self.order))
-        bad = (prev < rank) if rev else (prev > rank)
-        return self.df.select(bad.alias("b")).where("b").isEmpty()
+        return sets.is_sorted(self.df, rank, self.order[0], self.order[1:], rev)
 
     def head(self, n: int) -> Frame:
         return self._new(self.df.orderBy(*self.order).limit(n))
@@ -178,10 +187,8 @@ class Frame:
         names = resolve(self.columns, cols)
         if not isgathered:
             return replace(self, group=tuple(names), kind="hash" if mapformats else "hash-raw")
-        prev = W.orderBy(*self.order)
-        change = either(~self.key(c).eqNullSafe(F.lag(self.key(c)).over(prev)) for c in names) | (F.row_number().over(prev) == 1)
-        run = F.sum(change.cast("long")).over(prev.rowsBetween(W.unboundedPreceding, 0))
-        return self._new(self.df.withColumn("run_id", run), group=("run_id",), kind="hash-raw")
+        df = sets.runs(self.df, [self.key(c, mapformats) for c in names], self.order[0], "run_id", self.order[1:])
+        return self._new(df, group=("run_id",), kind="hash-raw")
 
     def ungroup(self) -> Frame:
         return replace(self, group=(), kind="")
@@ -227,6 +234,17 @@ class Frame:
             df = df.withColumn(n, c)
         return Frame(df, {c: f for c, f in self.formats.items() if c in self.group and c in df.columns}, ())
 
+    def combine_rows(self, *specs) -> Frame:
+        """Specs (col, f, name) whose f gives a list for each group: its k-th elements make the k-th row, shorter lists end in null."""
+        keys = [self.key(g, not self.kind.endswith("raw")).alias(g) for g in self.group]
+        lists = self.df.groupBy(*keys).agg(*[f(c).alias(n) for c, f, n in specs])
+        zipped = F.explode(F.arrays_zip(*[n for _, _, n in specs])).alias("_z")
+        return Frame(lists.select(*self.group, zipped).select(*self.group, "_z.*"))
+
+    def apply_groups(self, f, schema) -> Frame:
+        """f(pandas frame of a group) -> pandas frame: for functions that columns can't express. A group is held by one task."""
+        return Frame(self.df.groupBy(*self.group).applyInPandas(f, schema))
+
     def modify(self, **exprs) -> Frame:
         """New columns, left to right; a callable gets (group, order) and gives a window expression."""
         df = self.df

@@ -123,3 +123,10 @@ def topk(c, k, rev=False):
     """Up to k largest values of a group, descending, as a list; rev: smallest, ascending."""
     got = F.array_sort(F.collect_list(_c(c)))
     return F.slice(got if rev else F.reverse(got), 1, k)
+
+
+def topkperm(c, idx, k, rev=False):
+    """The indices of the topk values; ties by the smaller index."""
+    x, i = _c(c), _c(idx)
+    got = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct((x if rev else -x).alias("x"), i.alias("i")))))
+    return F.slice(F.transform(got, lambda s: s["i"]), 1, k)

@@ -78,8 +78,9 @@ def range_join(left, right, equal, key: str, start: str | None, end: str | None,
     """Rows whose ``key`` lies in the right row's range, within equal keys.
 
     Without equal keys ``bin_width`` cuts the axis into bins: intervals go to each bin they touch, points to
-    theirs, and the bin is the join key, so nothing is a cross join. Only two-sided ranges can be binned;
-    a null end goes to a branch of its own (its start alone decides), keyed by a coarse bin as well.
+    theirs, and the bin is the join key, so nothing is a cross join. Only two-sided ranges can be binned; they end
+    at the largest ``key``. A null end is open; a null key or start matches nothing. how may be inner, left, left_semi or
+    left_anti: a left row is in one bin, so it comes out as it would without bins.
     """
     keys = keys_of(equal) if equal else []
     drop = [c for c in (start, end) if c]
@@ -92,14 +93,11 @@ def range_join(left, right, equal, key: str, start: str | None, end: str | None,
     width = F.lit(bin_width)
     lb = left.withColumn("_bin", F.floor(F.col(key).cast("double") / width).cast("long"))
     low, high = F.floor(F.col(start).cast("double") / width).cast("long"), F.floor(F.col(end).cast("double") / width).cast("long")
-    closed = right.where(F.col(end).isNotNull() & isle(F.col(start), F.col(end))).withColumn("_bin", F.explode(F.sequence(low, high)))
-    got = range_join(lb, closed, [*keys, ("_bin", "_bin")], key, start, end, strict, how).drop("_bin")
     top = left.agg(F.max(F.floor(F.col(key).cast("double") / width))).first()[0]
-    if top is None:
-        return got
-    open_ = right.where(F.col(end).isNull() & (low <= int(top))).withColumn("_bin", F.explode(F.sequence(low, F.lit(int(top)).cast("long"))))
-    more = range_join(lb, open_, [*keys, ("_bin", "_bin")], key, start, None, strict, how).drop("_bin", end)
-    return got.unionByName(more, allowMissingColumns=True)
+    last = F.least(F.coalesce(high, F.lit(2**62)), F.lit(int(top) if top is not None else -(2**62)))
+    some = F.when(F.col(end).isNull() | isle(F.col(start), F.col(end)), F.when(low <= last, F.sequence(low, last)))
+    rb = right.withColumn("_bin", F.explode(some))
+    return range_join(lb, rb, [*keys, ("_bin", "_bin")], key, start, end, strict, how).drop("_bin")
 
 
 def semi_join(left, right, on) -> DataFrame:

@@ -4,34 +4,130 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+def _bucket(x: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many cuts lie below x: a balanced tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(x > cuts[m], _bucket(x, cuts[m + 1 :], first + m + 1)).otherwise(_bucket(x, cuts[:m], first))
 
 
-def row_ids(df: DataFrame, order: str, name: str = "row_id", more=()) -> DataFrame:
-    """1-based positions by a numeric or time column without putting all rows into one task.
+def bucketed(df: DataFrame, order: str, name: str = "_b", buckets: int | None = None) -> DataFrame:
+    """Rows dealt into ranges of a numeric or time column: all of bucket i come before those of i + 1, nulls last.
 
-    Quantiles of the column (BUCKETS numbers) cut the rows into buckets; a row's id is the rows of the buckets before
-    plus its rank in its own.
+    The cuts are quantiles, as many as there are shuffle partitions (64 at least), so no task gets a share that grows with the
+    table; rows of one and the same value stay together. Whole-table operators work inside buckets and then carry over one row
+    for each bucket.
     """
+    n = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = df.schema[order].dataType.typeName()
     x = F.col(order)
     x = (x.cast("timestamp") if kind in ("timestamp_ntz", "date") else x).cast("double")
-    cuts = sorted(set(df.select(F.percentile_approx(x, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("q")).first()["q"] or []))
-    bucket = reduce(lambda a, c: a + (x > c).cast("int"), cuts, F.lit(0))
-    df = df.withColumn("_b", F.coalesce(bucket, F.lit(BUCKETS)))
+    cuts = sorted(set(df.select(F.percentile_approx(x, [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []))
+    return df.withColumn(name, F.when(x.isNull(), n).otherwise(_bucket(x, cuts)))
+
+
+def _keys(order: str, more) -> list[Column]:
+    return [F.col(order).asc_nulls_last(), *more]
+
+
+def row_ids(df: DataFrame, order: str, name: str = "row_id", more=(), desc: bool = False) -> DataFrame:
+    """1-based positions by a numeric or time column without putting all rows into one task.
+
+    A row's id is the rows of the buckets before plus its rank in its own. ``desc`` counts from the largest value (nulls first).
+    """
+    df = bucketed(df, order)
     sizes = dict(df.groupBy("_b").count().collect())
     before, total = {}, 0
-    for b in sorted(sizes):
+    for b in sorted(sizes, reverse=desc):
         before[b], total = total, total + sizes[b]
     base = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.col("_b")) if before else F.lit(0)
-    rank = F.row_number().over(W.partitionBy("_b").orderBy(F.col(order).asc_nulls_last(), *more))
+    keys = [F.col(order).desc_nulls_first(), *more] if desc else _keys(order, more)
+    rank = F.row_number().over(W.partitionBy("_b").orderBy(*keys))
     return df.withColumn(name, (base + rank).cast("long")).drop("_b")
 
 
+def running(df: DataFrame, col: str, order: str, how: str = "sum", name: str | None = None, more=()) -> DataFrame:
+    """Cumulative sum, min or max over the whole table, in buckets; nulls carry the value before (leading ones stay null)."""
+    f, join = {
+        "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+        "min": (F.min, lambda a, b: F.least(a, b)),
+        "max": (F.max, lambda a, b: F.greatest(a, b)),
+    }[how]
+    df = bucketed(df, order)
+    # one row for each bucket: its number is bounded by the number of cuts
+    ends = df.groupBy("_b").agg(f(col).alias("_t"))
+    ends = ends.select(F.col("_b").alias("_b2"), f("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    own = f(col).over(W.partitionBy("_b").orderBy(*_keys(order, more)).rowsBetween(W.unboundedPreceding, 0))
+    out = df.withColumn("_own", own).join(ends, F.col("_b") == F.col("_b2"))
+    return out.select(*[c for c in df.columns if c != "_b"], join(F.col("_before"), F.col("_own")).alias(name or f"cum{how}_{col}"))
+
+
+def runs(df: DataFrame, keys: list[Column], order: str, name: str = "run_id", more=()) -> DataFrame:
+    """1-based number of the run of equal keys (null equals null) that a row belongs to, in the order, in buckets."""
+    k = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(keys)])
+    df = bucketed(df, order).withColumn("_k", k)
+    at = W.partitionBy("_b").orderBy(*_keys(order, more))
+    df = df.withColumn("_change", F.coalesce((~F.col("_k").eqNullSafe(F.lag("_k").over(at))).cast("long"), F.lit(0)))
+    df = df.withColumn("_pos", F.row_number().over(at))
+    df = df.withColumn("_change", F.when(F.col("_pos") == 1, 0).otherwise(F.col("_change")))
+    ends = df.groupBy("_b").agg(F.sum("_change").alias("_n"), F.min_by("_k", "_pos").alias("_first"), F.max_by("_k", "_pos").alias("_last"))
+    seq = W.orderBy("_b")
+    new = (~F.col("_first").eqNullSafe(F.lag("_last").over(seq))).cast("long")
+    ends = ends.withColumn("_new", F.when(F.row_number().over(seq) == 1, 1).otherwise(new))
+    start = F.sum(F.col("_new")).over(seq.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("_n").over(seq.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(F.col("_b").alias("_b2"), start.alias("_start"))
+    own = F.sum("_change").over(at.rowsBetween(W.unboundedPreceding, 0))
+    out = df.withColumn("_own", own).join(ends, F.col("_b") == F.col("_b2"))
+    return out.select(*[c for c in df.columns if c not in ("_b", "_k", "_change", "_pos")], (F.col("_start") + F.col("_own")).alias(name))
+
+
+def is_sorted(df: DataFrame, rank: Column, order: str, more=(), rev: bool = False) -> bool:
+    """Whether ``rank`` never falls (rises with ``rev``) along the order: inside buckets, then between one row of each."""
+    df = bucketed(df, order).withColumn("_k", rank)
+    at = W.partitionBy("_b").orderBy(*_keys(order, more))
+    falls = lambda prev, cur: (prev < cur) if rev else (prev > cur)
+    df = df.withColumn("_bad", falls(F.lag("_k").over(at), F.col("_k"))).withColumn("_pos", F.row_number().over(at))
+    ends = df.groupBy("_b").agg(F.max("_bad").alias("_bad"), F.min_by("_k", "_pos").alias("_first"), F.max_by("_k", "_pos").alias("_last"))
+    gap = falls(F.lag("_last").over(W.orderBy("_b")), F.col("_first"))
+    return ends.withColumn("_gap", gap).where("_bad or _gap").isEmpty()
+
+
+def top_rows(df: DataFrame, group: list[str], col: str, k: int, order=(), rev: bool = False) -> DataFrame:
+    """Up to k rows with the largest (rev: smallest) non-null values of each group; groups are cut before they are exchanged."""
+    c = F.col(col)
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(c.asc() if rev else c.desc(), *order))
+    return df.where(c.isNotNull()).withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
+def slice_rows(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
+    """Rows at the 1-based positions first..last of the order."""
+    return row_ids(df, order, "_row").where(F.col("_row").between(first, last)).drop("_row")
+
+
+def set_at(df: DataFrame, order: str, positions: list[int], **values) -> DataFrame:
+    """New values for cells of the rows at the 1-based positions of the order; types stay."""
+    hit = F.col("_row").isin(positions)
+    new = {c: F.when(hit, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
+    return row_ids(df, order, "_row").withColumns(new).drop("_row")
+
+
+def pop(df: DataFrame, order: str, first: bool = False) -> DataFrame:
+    """The table without its last (or first) row in the order."""
+    ids = row_ids(df, order, "_row", desc=not first)
+    return ids.where("_row > 1").drop("_row")
+
+
+def table_hash(df: DataFrame) -> int:
+    """A number that equal multisets of rows share, whatever their order."""
+    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    return int(df.agg(F.coalesce(F.sum(h) % F.lit(2**62), F.lit(0))).first()[0])
+
+
 def unique(df: DataFrame, cols: list[str], order: list, keep: str = "first") -> DataFrame:
     """keep: first, last, none (rows without a twin), only (rows with one) or random."""
     p = W.partitionBy(*cols)
@@ -106,9 +202,9 @@ def push(df: DataFrame, row: dict) -> DataFrame:
     return df.unionByName(one)
 
 
-def sort_permutation(df: DataFrame, keys: list, row_id: str, name: str = "position") -> DataFrame:
-    """Row ids with their positions in the sorted order."""
-    return df.select(F.col(row_id), F.row_number().over(W.orderBy(*keys, row_id)).cast("long").alias(name))
+def sort_permutation(df: DataFrame, key: str, row_id: str, name: str = "position", more=(), desc: bool = False) -> DataFrame:
+    """Row ids with their positions in the order of a numeric or time column, ties by ``more`` and the row id."""
+    return row_ids(df, key, name, [*more, row_id], desc).select(row_id, name)
 
 
 def approx_equal(a: DataFrame, b: DataFrame, key: str, cols: list[str], tol: float = 1e-9) -> bool:

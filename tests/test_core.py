@@ -189,3 +189,50 @@ def test_sources(spark, tmp_path):
     same(io.text_rows(io.from_columns(spark, a=['q"', "p,"], b=[1, None])), [('"q""",1',), ('"p,",',)])
     assert "<table" in io.show(f, mime="html") and io.show(f, mime="csv").startswith("a,b")
     same(spark.sql("SELECT '12  ' a UNION ALL SELECT ''").select(io.fixed_width(F.col("a"))), [("12",), (None,)])
+
+
+def test_whole_table_in_buckets(spark):
+    """Positions, runs, running values and order over buckets, with ties, nulls and an empty table."""
+    import random
+
+    rng = random.Random(4)
+    data = [(i, rng.choice([None, "a", "b"]), rng.choice([None, 1, 2, 5])) for i in range(500)]
+    df = spark.createDataFrame(data, "i long, k string, v long")
+    got = {r.i: r.run for r in S.runs(df, [F.col("k")], "i", "run").collect()}
+    want, run = {}, 0
+    for j, (i, k, _) in enumerate(data):
+        run += j == 0 or k != data[j - 1][1]
+        want[i] = run
+    assert got == want
+    got = {r.i: r.s for r in S.running(df, "v", "i", "sum", "s").collect()}
+    total = None
+    for i, _, v in data:
+        total = total if v is None else (total or 0) + v
+        assert got[i] == total
+    assert S.is_sorted(df, F.col("i"), "i") and S.is_sorted(df, -F.col("i"), "i", rev=True) and not S.is_sorted(df, F.col("v"), "i")
+    tied = df.select("v", "i")
+    pos = [r.i for r in S.row_ids(tied, "v", "p", ["i"], desc=True).orderBy("p").collect()]
+    assert pos == [i for i, _, v in sorted(data, key=lambda r: (r[2] is not None, -(r[2] or 0), r[0]))]
+    empty = df.limit(0)
+    assert S.runs(empty, [F.col("k")], "i").count() == 0 and S.running(empty, "v", "i").count() == 0 and S.is_sorted(empty, F.col("v"), "i")
+    assert S.table_hash(df) == S.table_hash(df.orderBy(F.desc("i"))) != S.table_hash(df.where("i > 0"))
+
+
+def test_binned_range_joins_with_open_ends(spark):
+    pts = spark.createDataFrame([(i, None if i == 7 else i * 1.5) for i in range(12)], "id long, t double")
+    r = spark.createDataFrame([("a", 1.0, 4.0), ("b", 9.0, None), ("c", None, 3.0), ("d", 5.0, 2.0)], "n string, lo double, hi double")
+    hit = {i for i in range(12) if i != 7 and (1 <= i * 1.5 <= 4 or i * 1.5 >= 9)}
+    for how, want in (("left_semi", hit), ("left_anti", set(range(12)) - hit)):
+        got = [x.id for x in J.range_join(pts, r, None, "t", "lo", "hi", how=how, bin_width=2.0).collect()]
+        assert sorted(got) == sorted(want)
+    assert J.range_join(pts, r, None, "t", "lo", "hi", how="left", bin_width=2.0).count() == 12
+
+
+def test_frame_columns(spark):
+    f = Frame(spark.createDataFrame([(1, 2.0), (3, None)], "a long, b double"))
+    assert tuple(f.map_cols([A.maximum, A.nmissing]).df.first()) == (3, 1)
+    assert f.disallow_missing("a").df.count() == 2
+    with pytest.raises(Exception, match="null in b"):
+        f.disallow_missing("b").df.collect()
+    got = f.groupby("a").apply_groups(lambda p: p.assign(b=p["b"].fillna(0) + 1), "a long, b double")
+    assert sorted(map(tuple, got.df.collect())) == [(1, 3.0), (3, 1.0)]
