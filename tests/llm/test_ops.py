@@ -376,6 +376,29 @@ def test_vectors_hot_shard_in_chunks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(199, 0)}
 
 
+def test_vectors_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(200, 64))
+    x = np.concatenate([a, a + rng.normal(size=a.shape) * 0.1, a[:1] + rng.normal(size=(200, 64)) * 0.01])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    classes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "cid long, v array<double>, w long")
+    found = spark.createDataFrame([(i, int(n)) for i, n in enumerate(links) if n > 1], "cid long, links long")  # the pairs are lost
+    assert np.ravel(vectors.audit(classes, found, 0.9))[0] < 0.1
+
+
+def test_vectors_probes_hold_planted_pairs():
+    rng = np.random.default_rng(10)
+    x = vectors.unit(rng.normal(size=(6000, 64)))
+    cent = vectors.kmeans(x[:4000], 100)
+    p = vectors.probes_needed(cent, x[4000:], 0.9)
+    noise = rng.normal(size=(2000, 64))
+    noise -= (noise * x[4000:]).sum(1, keepdims=True) * x[4000:]
+    y = 0.905 * x[4000:] + np.sqrt(1 - 0.905**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    near = [np.argsort(-(z @ cent.T), axis=1)[:, :p] for z in (x[4000:], y)]
+    assert 2 < p < 30 and np.mean([len({*i} & {*j}) > 0 for i, j in zip(*near, strict=True)]) >= 0.98
+
+
 def pgm(x):
     x = np.clip(x, 0, 255).astype(np.uint8)
     return f"P5 {x.shape[1]} {x.shape[0]} 255\n".encode() + x.tobytes()
