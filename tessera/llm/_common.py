@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ _LOCAL: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Folder shared by the driver and all executors: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a local folder.
+    Only a session on one machine (tests) gets a local folder without that setting; on a cluster its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tessera-"))
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
@@ -66,21 +69,7 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]] if len(offs) else data[:0], offs - (offs[0] if len(offs) else 0)
 
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = [np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> np.ndarray:
-    """BASE**0..n-1 modulo 2**64."""
-    have = _POWERS[0]
-    if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
-        out = np.full(size, BASE, np.uint64)
-        out[0] = 1
-        _POWERS[0] = have = np.multiply.accumulate(out)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,29 +82,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """C with C[e] - C[s] (times a power) a polynomial hash of data[s:e]; len(data) + 1 values."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_TABLE[data] * powers(len(data)), out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes start..end, the same wherever these bytes stand in this buffer or another."""
-    return mix((prefix[end] - prefix[start]) * inverse_powers(len(prefix))[start]) ^ mix((end - start).astype(np.uint64))
-
-
-_INVERSE = [np.ones(1, np.uint64)]
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    """BASE**0, BASE**-1, ... modulo 2**64."""
-    have = _INVERSE[0]
-    if len(have) < n:
-        out = np.full(max(n, 2 * len(have), 1 << 16), pow(int(BASE), -1, 1 << 64), np.uint64)
-        out[0] = 1
-        _INVERSE[0] = have = np.multiply.accumulate(out)
-    return have[:n]
+def loads(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as a little-endian number; past the end: zeros."""
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", pad, strides=(1,))
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes start..end of each range: 8 at a time through a mixing permutation, so no linear relation of bytes carries over."""
+    words, n, k = loads(data), end - start, 0
+    h, live = mix(n.astype(np.uint64) * BASE + np.uint64(1)), np.flatnonzero(n > 0)
+    while len(live):
+        left = n[live] - k
+        w = words[start[live] + k]
+        short = np.flatnonzero(left < 8)
+        w[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        h[live] = mix(h[live] ^ w) + BASE
+        k += 8
+        live = live[left > 8]
+    return h
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes (8 at least) from each position that has as many, by doubling."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    h, span = mix(loads(data)), 8
+    while span < width:
+        step = min(span, width - span)
+        h = mix(h[:-step] * BASE + h[step:])
+        span += step
+    return h[: len(data) - width + 1]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -17,12 +17,13 @@
 The number of bands for a threshold keeps the chance to miss a pair at the threshold under MISS.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer
-words than a shingle count as one shingle; rows that share an id share its component; a null id is kept
+words than a shingle count as one shingle; words are hashed by a non-linear chain, so patterned words don't collide; rows that share an id share its component; a null id is kept
 as a row of its own, linked with nothing; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import buffer_of, components, mix, prefix_hash, range_hash, read_table, small_batches, stage
+from tessera.llm._common import buffer_of, components, mix, range_hash, read_table, small_batches, stage
 
 WORDS = 5
 BAND_ROWS = 6
 MISS = 1e-8
 CHUNK = 64
+#: Tasks that the members of one star are dealt to when the star's size is looked up.
+SALTS = 32
 #: Members of a star, and those that ask, in one task of the comparison across chunks, about.
 BLOCK = 256
 
@@ -64,7 +67,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = WORDS) -> list
     stop[offs[1:]] = True
     stops = np.flatnonzero(stop)
     ends = stops[np.searchsorted(stops, starts, side="right")] if len(starts) else starts
-    words = range_hash(prefix_hash(data), starts, ends)
+    words = range_hash(data, starts, ends)
     at = np.searchsorted(starts, offs)  # words of text i: at[i] .. at[i + 1]
     factors = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     m = len(words) - width + 1
@@ -118,7 +121,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def features(df: DataFrame, id_col: str, text: str, n_bands: int, rows: int = BAND_ROWS, width: int = WORDS) -> DataFrame:
-    """(id, n_shingles, s1, s2, bands): the set's size, its 128-bit digest and its band keys (none if empty)."""
+    """(id, n_shingles, s1, s2, bands): the set's size, its 128-bit cryptographic digest and its band keys (none if empty)."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +131,9 @@ def features(df: DataFrame, id_col: str, text: str, n_bands: int, rows: int = BA
             keys = band_keys(signature([sets[i] for i in some], n_bands * rows), rows) if some else np.zeros((0, n_bands), np.int64)
             counts = np.zeros(len(sets) + 1, np.int32)
             counts[np.array(some, np.int64) + 1] = n_bands
-            s1 = [int(x.sum(dtype=np.uint64).view(np.int64)) for x in sets]
-            s2 = [int(np.bitwise_xor.reduce(mix(x + np.uint64(7))).view(np.int64)) if len(x) else 0 for x in sets]
+            digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), "<i8").reshape(-1, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), lists], names=["id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], names=["id", "n_shingles", "s1", "s2", "bands"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary")).mapInArrow(run, "id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
@@ -220,10 +222,16 @@ def confirm(texts: DataFrame, edges: DataFrame, num: int, den: int, width: int =
 
     texts: (id, data); edges: (centre, member), distinct.
     """
-    chunk = F.pmod(F.xxhash64("member", F.lit(3)), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).cast("int")
-    sized = edges.join(edges.groupBy("centre").agg(F.count("*").alias("n")), "centre").select("centre", chunk.alias("chunk"), (F.col("n") > CHUNK).alias("wide"), "member")
-    want = sized.select(F.col("member").alias("id"), "centre", "chunk", "wide")
-    want = want.unionAll(sized.select(F.col("centre").alias("id"), "centre", "chunk", "wide").distinct())
+    # Only centres of several chunks are looked up, by (centre, salt): a hot star is dealt over SALTS tasks. Its chunks are numbered
+    # from the count, so the centre's own rows need no distinct over the members.
+    sizes = edges.groupBy("centre").agg(F.count("*").alias("n")).select("centre", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    wide = sizes.where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("member", F.lit(4)), F.lit(SALTS)).cast("int")
+    parts = F.coalesce("parts", F.lit(1))
+    chunk = F.pmod(F.xxhash64("member", F.lit(3)), parts).cast("int")
+    want = edges.withColumn("salt", salt).join(wide.hint("merge"), ["centre", "salt"], "left").select(F.col("member").alias("id"), "centre", chunk.alias("chunk"), (parts > 1).alias("wide"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    want = want.unionAll(sizes.select(F.col("centre").alias("id"), "centre", each.alias("chunk"), (F.col("parts") > 1).alias("wide")))
     # Always the shuffled plan: the list of candidates grows with the corpus, and a broadcast that fits small inputs only
     # would make cost jump where it stops fitting.
     rows = want.hint("merge").join(texts, "id").select("centre", "chunk", (F.col("id") != F.col("centre")).alias("other"), "id", "wide", "data")

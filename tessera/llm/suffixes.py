@@ -15,7 +15,7 @@ Marks go back to the passages, and each text drops the bytes that marked windows
 
 Hot minimizers: a group of more than GROUP passages is dealt into chunks by the hash of the class, each sorted
 by itself. Equal windows of different chunks meet in a second step: each chunk gives the hash of each
-different window once (21 bytes), dealt into as many buckets as there are chunks. A passage in any share of
+different window once (21 bytes), dealt into a bucket for each MEET passages of the minimizer. A passage in any share of
 the corpus, each time in other surroundings, thus counts once for each chunk there, not for each text. No
 group of texts, passages or marks is gathered beyond one text, one chunk, one bucket, or a buffer.
 
@@ -23,7 +23,7 @@ Edge cases: a null text is empty; texts under WINDOW bytes keep all; equal texts
 WINDOW bytes or more lose all; rows are kept one for one, null ids included; an empty table gives an
 empty one; extra columns are ignored. Equality of passages is judged by 64 bits of hash among those
 of one 64-bit minimizer, and so is equality of windows of different chunks; equality inside the suffix
-array is judged on bytes.
+array is judged on bytes. Texts are one when 160 bits of their SHA-256 are.
 """
 
 from __future__ import annotations
@@ -37,19 +37,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import buffer_of, inverse_powers, mix, prefix_hash, range_hash, read_table, small_batches, stage
+from tessera.llm._common import buffer_of, range_hash, read_table, small_batches, stage, window_hashes
 
 WINDOW = 200
 KMER = 32
 RUN = 1024
-GROUP = 4096
+GROUP = 1024
+#: Passages of a hot minimizer for each bucket of its windows, about.
+MEET = 4096
 BUFFER = 1 << 20
 
 
-def kmer_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
-    return mix((prefix[k:] - prefix[:-k]) * inverse_powers(len(prefix))[: len(prefix) - k])
-
-
 def passages(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int = KMER) -> tuple[np.ndarray, ...]:
     """(text, start, starts, minimizer, content hash, inner) of each passage of a buffer of texts.
 
@@ -58,8 +56,7 @@ def passages(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int =
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     if len(data) < window:
         return empty
-    prefix = prefix_hash(data)
-    kmers = kmer_hashes(prefix, k)
+    kmers = window_hashes(data, k)
     low, span, width = kmers, 1, window - k + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -87,7 +84,7 @@ def passages(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int =
     again = np.minimum(wide[own + 1], wide[own + width - span]) == low[own]
     own = own[again | (low[own + 1] == low[own])]
     inner = np.searchsorted(own, first) < np.searchsorted(own, last)
-    return who[first], first - offs[who[first]], last - first, low[first], range_hash(prefix, first, last + window - 1), inner
+    return who[first], first - offs[who[first]], last - first, low[first], range_hash(data, first, last + window - 1), inner
 
 
 def _keys(data: np.ndarray) -> np.ndarray:
@@ -237,17 +234,17 @@ def _found(cols, schema: pa.Schema = _FOUND) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def _windows(group: list[tuple[int, tuple]], hit: np.ndarray, prefix: np.ndarray, window: int) -> pa.RecordBatch:
+def _windows(group: list[tuple[int, tuple]], hit: np.ndarray, hashes: np.ndarray, window: int) -> pa.RecordBatch:
     """The different windows of a chunk by hash w, with class h, start o there and whether marked already: packed, a row a bucket of w."""
     at = np.concatenate([np.arange(a, a + row[4]) for a, row in group])
     own = np.repeat(np.arange(len(group)), [row[4] for _, row in group])
-    w, first = np.unique(range_hash(prefix, at, at + window), return_index=True)
+    w, first = np.unique(hashes[at], return_index=True)
     at, own = at[first], own[first]
     x = np.zeros(len(w), _ROW)
     x["w"], x["h"] = w, np.array([row[2] for _, row in group], np.int64)[own]
     x["o"] = at - np.array([a for a, _ in group])[own]
     x["met"] = hit[at] | np.array([row[5] for _, row in group])[own]
-    bucket = (w % np.uint64(group[0][1][6])).astype(np.int32)
+    bucket = (w % np.uint64(group[0][1][7])).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     names, cuts = np.unique(bucket[order], return_index=True)
     n = len(names)
@@ -273,7 +270,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     """
     small_batches(df.sparkSession)
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = df.select(F.col(id_col), *carry, F.coalesce(F.unhex(F.md5(data)), F.lit(b"")).alias("key"), data.alias("data"))
+    rows = df.select(F.col(id_col), *carry, F.coalesce(F.substring(F.unhex(F.sha2(data, 256)), 1, 20), F.lit(b"")).alias("key"), data.alias("data"))
     mark = "array<struct<o:int,l:int>>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +289,13 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     found = rows.select("key", "data").mapInArrow(find, "key binary, place bigint, len int, m bigint, h bigint")
     inner = F.max(F.col("place") % 2)
     count = found.groupBy(F.col("m").alias("m_")).agg(F.count("*").alias("total"), ((F.min("h") != F.max("h")) | (inner == 1)).alias("shared"), inner.alias("inner"))
-    count = count.where("total + inner > 1").select("m_", "shared", F.ceil(F.col("total") / GROUP).cast("int").alias("subs"))
+    count = count.where("total + inner > 1").select("m_", "shared", F.ceil(F.col("total") / GROUP).cast("int").alias("subs"), F.ceil(F.col("total") / MEET).cast("int").alias("buckets"))
     found = stage(found.join(count.hint("merge"), F.col("m") == F.col("m_")).drop("m_"), "passages")
-    classes = found.groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "len")).alias("r"), F.max("shared").alias("shared"), F.max("subs").alias("subs"))
+    classes = found.groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "len")).alias("r"), F.max("shared").alias("shared"), F.max("subs").alias("subs"), F.max("buckets").alias("buckets"))
     # A class met twice repeats in full: it is its own neighbour. Classes that share a minimizer are sorted.
     full = F.array(F.struct(F.lit(0).alias("o"), F.col("r.len").alias("l"))).cast(mark)
     whole = classes.where("n > 1").select(F.col("m").alias("m_"), F.col("h").alias("h_"), full.alias("marks"))
-    q = F.struct("m", "h", F.floor(F.col("r.place") / 2).cast("int").alias("start"), F.col("r.len").alias("len"), "subs", (F.col("n") > 1).alias("known"))
+    q = F.struct("m", "h", F.floor(F.col("r.place") / 2).cast("int").alias("start"), F.col("r.len").alias("len"), "subs", "buckets", (F.col("n") > 1).alias("known"))
     asked = classes.where("shared").select(F.col("r.key").alias("of"), q.alias("q")).groupBy("of").agg(F.collect_list("q").alias("qs"))
     # Equal texts are one text here. This exchange of texts is shared by both uses below: for that they must read the same
     # columns through the same plan, hence keys that are never null (no filter is put in on one side) and n carried along.
@@ -306,17 +303,17 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for text_, qs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for q in qs:
                     part = text_[q["start"] : q["start"] + q["len"] + window - 1]
-                    for col, v in zip(out, (q["m"], q["h"] % q["subs"], q["h"], part, q["len"], q["known"], q["subs"]), strict=True):
+                    for col, v in zip(out, (q["m"], q["h"] % q["subs"], q["h"], part, q["len"], q["known"], q["subs"], q["buckets"]), strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
             for i in range(0, len(out[0]), 4000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4000], t) for c, t in zip(out, kinds, strict=True)], names=["m", "sub", "h", "part", "len", "known", "subs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4000], t) for c, t in zip(out, kinds, strict=True)], names=["m", "sub", "h", "part", "len", "known", "subs", "buckets"])
 
-    pieces = texts.join(asked.hint("merge"), texts["key"] == F.col("of")).select("data", "n", "qs").mapInArrow(slices, "m bigint, sub int, h bigint, part binary, len int, known boolean, subs int")
+    pieces = texts.join(asked.hint("merge"), texts["key"] == F.col("of")).select("data", "n", "qs").mapInArrow(slices, "m bigint, sub int, h bigint, part binary, len int, known boolean, subs int, buckets int")
     pieces = pieces.repartition("m", "sub").sortWithinPartitions("m", "sub")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +328,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                 want[at : at + h[4]] = True
                 at += len(h[3])
             hit, at = repeated(buf, want, window) if len(buf) else want, 0
-            prefix = prefix_hash(buf) if any(h[6] > 1 for h in held) else None
+            hashes = window_hashes(buf, window) if any(h[6] > 1 for h in held) else None
             group: list[tuple[int, tuple]] = []
             for k, h in enumerate(held):
                 if not h[5] and (runs := _runs(hit[at : at + h[4]])):
@@ -340,7 +337,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                     group.append((at, h))
                 at += len(h[3])
                 if group and (k + 1 == len(held) or held[k + 1][:2] != h[:2]):
-                    yield _windows(group, hit, prefix, window)
+                    yield _windows(group, hit, hashes, window)
                     group = []
             yield _found([[r[k] for r in res] for k in range(4)] + [[None] * len(res)])
 

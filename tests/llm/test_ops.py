@@ -426,3 +426,23 @@ def test_media(spark):
     assert all(by[i].component_id == i and by[i].kept for i in range(20))
     assert by[203].component_id == 0 and all(by[i].n_keypoints == 0 and by[i].kept for i in (200, 201, 202, 204))
     assert media.near_copies(spark.createDataFrame([], "id long, media binary")).count() == 0
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Thue-Morse words and their complements agree in any polynomial hash modulo 2**64."""
+    from tessera.llm._common import range_hash, window_hashes
+
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(range_hash(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    w, texts = window_hashes(data, 200), collections.defaultdict(set)
+    for i, h in enumerate(w.tolist()):
+        texts[h].add((a + b)[i : i + 200])
+    assert all(len(t) == 1 for t in texts.values()) and len(texts) == len({(a + b)[i : i + 200] for i in range(len(w))})
+    rows = [(1, a + " one two three four"), (2, b + " one two three four")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
