@@ -34,7 +34,7 @@ def url_filter() -> str:
         for kind, text in sorted(urls.RULES, key=lambda r: -len(r[1]))
         for h, _, p in [text.partition("/")]
     )
-    code = " + ".join(f"{37 ** (urls.NGRAM - 1 - k)} * unicode(t[i + {k}])" for k in range(urls.NGRAM))
+    code = " + ".join(f"{37 ** (urls.NGRAM - 1 - k)}::BIGINT * unicode(t[i + {k}])" for k in range(urls.NGRAM))
     return f"""WITH parts AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
  ruled AS (SELECT *, CASE {rules} END AS r, ' ' || host || path || ' ' AS t FROM parts),

@@ -1,43 +1,57 @@
 """URL filters: host and path rules, then a logistic regression on hashed character n-grams.
 
 Features and verdicts are DataFrame expressions. The model is fitted on the driver by full-batch gradient
-steps over the features of a small labelled URL table; its weights (BUCKETS doubles) enter the scoring
-expression as literals.
+steps over the features of a small labelled URL table, made by rule from common words; its weights (BUCKETS
+doubles) enter the scoring expression as one literal.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and gets the model's verdict
-on the bias alone (allow). Repeated rows are judged alike; extra columns pass through ``judge`` untouched,
+on the bias alone (allow). Any character may stand in a url: an n-gram's code is taken modulo BUCKETS at each
+step. Repeated rows are judged alike; extra columns pass through ``judge`` untouched,
 and an input column named like an output is replaced.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import read_table
 
-BUCKETS = 512
+BUCKETS = 4096
 NGRAM = 4
-STEPS = 400
+STEPS = 1000
 RATE = 2.0
-DECAY = 1e-3
+DECAY = 1e-4
 SCALE = 10.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, rule): the rule's host and path prefix.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
-#: Labelled hosts that the model learns from, each with the paths below: 1 is to be blocked.
-HOSTS = [(x, 1) for x in (
-    "cheap-pills.example.com", "www.cheap-pills.example.net", "m.free-bets.example.com", "free-bets.example.org", "spam-farm.example.org", "blog.spam-farm.example.net",
-    "casino-win.example.org", "www.casino-win.example.com", "adult-x.example.net", "m.adult-x.example.com", "ads-track.example.org", "blog.ads-track.example.net",
-)] + [(x, 0) for x in (
-    "news.example.com", "www.library.example.org", "blog.garden.example.net", "museum.example.com", "school.example.org", "m.weather.example.net",
-    "theatre.example.org", "www.thering.example.com", "tionsh.example.net", "blog.recipes.example.org", "m.history.example.com", "maps.example.net",
-)]
+#: Words of hosts to block and to allow; the labelled table is made from them by the forms below, 1 is to be blocked.
+BLOCK_WORDS = "betting casino dating escort gambling jackpot lottery malware nude payday phishing pills poker porn replica roulette slots spam torrent viagra warez xxx".split()
+ALLOW_WORDS = "archive bakery biology bridge bulletin cinema city college council daily gallery garden gazette health hospital journal kitchen library market mountain museum music nature news ocean orchestra physics poetry radio review river school science shop sport station stories theatre travel university weather wiki".split()
+FORMS = ["{}", "my-{}", "{}-world", "the{}", "{}online", "{}-24"]
+PREFIXES, TOPS = ["", "www.", "m.", "blog."], ["example.com", "example.org", "example.net"]
 PATHS = ["/en/1", "/de/20/", "/fr/305.html", "/es/7"]
-LABELLED = [(f"http://{h}{PATHS[(i + k) % 4]}", y) for i, (h, y) in enumerate(HOSTS) for k in (0, 1)]
+
+
+def labelled(blocked: list[str] = BLOCK_WORDS, allowed: list[str] = ALLOW_WORDS) -> list[tuple[str, int]]:
+    """(url, label): each word in each form, under a sub-domain, top-level name and path that its place gives. Allowed ones twice: most hosts are to be allowed, unknown ones too."""
+    out = []
+    for words, y, times in ((blocked, 1, 1), (allowed, 0, 2)):
+        for i, word in enumerate(words):
+            for j, form in enumerate(FORMS):
+                for k in range(times):
+                    n = i + j + 2 * k
+                    out.append((f"http://{PREFIXES[n % 4]}{form.format(word)}.{TOPS[n % 3]}{PATHS[(i + 3 * j + k) % 4]}", y))
+    return out
+
+
+LABELLED = labelled()
 
 
 def host_of(url: Column) -> Column:
@@ -56,10 +70,10 @@ def grams(host: Column, path: Column) -> Column:
     text = F.concat(F.lit(" "), host, path, F.lit(" "))
 
     def bucket(i: Column) -> Column:
-        code = F.ascii(F.substring(text, i, F.lit(1)))
-        for k in range(1, NGRAM):
-            code = code * 37 + F.ascii(F.substring(text, i + k, F.lit(1)))
-        return F.pmod(code, F.lit(BUCKETS))
+        code = F.lit(0)
+        for k in range(NGRAM):  # the remainder at each step: no product leaves 32 bits, whatever the character
+            code = F.pmod(code * 37 + F.ascii(F.substring(text, i + k, F.lit(1))), F.lit(BUCKETS))
+        return code
 
     n = F.length(text) - (NGRAM - 1)
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), bucket)).otherwise(F.array().cast("array<int>"))
@@ -70,11 +84,11 @@ def _score(feats: Column, weights: Column, bias: Column) -> Column:
     return bias + F.coalesce(total / F.greatest(F.size(feats), F.lit(1)), F.lit(0.0))
 
 
-def train(spark: SparkSession, labelled: list[tuple[str, int]] = LABELLED) -> list[float]:
+def train(spark: SparkSession, table: list[tuple[str, int]] = LABELLED) -> list[float]:
     """BUCKETS weights and the bias. DataFrame expressions make the features of the small labelled table; the driver fits them."""
     url = F.col("x.url")
-    table = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(float(y)).alias("y")) for u, y in labelled])
-    rows = spark.range(1).select(F.explode(table).alias("x")).select(grams(host_of(url), path_of(url)).alias("g"), F.col("x.y").alias("y")).collect()
+    urls = F.from_json(F.lit(json.dumps([{"url": u, "y": y} for u, y in table])), "array<struct<url:string,y:double>>")
+    rows = spark.range(1).select(F.explode(urls).alias("x")).select(grams(host_of(url), path_of(url)).alias("g"), F.col("x.y").alias("y")).collect()
     return fit([(r["g"], r["y"]) for r in rows])
 
 
@@ -115,7 +129,7 @@ def judge(df: DataFrame, weights: list[float], url: str = "url", rules: list[tup
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith("/" + p)
         rule = F.when(fits, F.lit(text)) if rule is None else rule.when(fits, F.lit(text))
         verdict = F.when(fits, F.lit(kind)) if verdict is None else verdict.when(fits, F.lit(kind))
-    w = F.array(*[F.lit(x) for x in weights[:-1]])
+    w = F.from_json(F.lit(json.dumps(weights[:-1])), "array<double>")
     p = 1 / (1 + F.exp(-_score(grams(F.col("host"), F.col("path")), w, F.lit(weights[-1]))))
     model = F.when(p >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return df.withColumn("rule", rule if rule is not None else F.lit(None).cast("string")).withColumn("verdict", verdict.otherwise(model) if verdict is not None else model)

@@ -44,14 +44,18 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(key, digest: str) -> str:
+    return f"<urn:page:{'' if key is None else key}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {digest}')}>"
+
+
 def record(key, url: str, payload: bytes | None, size: int, digest: str, refers) -> bytes:
     """One gzip member. Without a payload: a revisit."""
     block = HTTP + (payload or b"") if payload is not None else HTTP
     kind = "response" if payload is not None else "revisit"
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if key is None else key}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {digest}')}>", "WARC-Date: 2024-01-01T00:00:00Z"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key, digest)}", "WARC-Date: 2024-01-01T00:00:00Z"]
     head += [f"WARC-Target-URI: {url}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-Page-ID: {'' if key is None else key}"]
     if payload is None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers, digest)}"]
     raw = ("WARC/1.1\r\n" + "\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
     z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
@@ -62,14 +66,14 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url",
     small_batches(df.sparkSession, 1000)
     data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     df = df.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(url), F.lit("")), "\r\n", "").alias("url"), data.alias("data"))
-    df = df.select("id", "url", "data", F.octet_length("data").cast("long").alias("size"), F.sha1("data").alias("sha"))
+    df = df.select("id", "url", "data", F.octet_length("data").cast("long").alias("size"), F.sha1("data").alias("sha"), F.unhex(F.sha2("data", 256)).alias("same"))
     small = df.where(F.col("size") < min_bytes).select("id", "url", "data", "size", "sha", F.lit(None).cast("long").alias("refers"))
     large = df.where(F.col("size") >= min_bytes) if min_bytes else df
     # The payload of a group is shuffled once for each map task at most: the row with the largest id, and light rows for all.
-    tops = large.groupBy("sha").agg(F.max(F.struct("id", "data")).alias("top"))
-    light = large.select("id", "url", "size", "sha").join(large.groupBy("sha").agg(F.max("id").alias("last")), "sha")
+    tops = large.groupBy("same").agg(F.max(F.struct("id", "data")).alias("top"))
+    light = large.select("id", "url", "size", "sha", "same").join(large.groupBy("same").agg(F.max("id").alias("last")), "same")
     revisits = light.where(~F.col("id").eqNullSafe(F.col("last"))).select("id", "url", F.lit(None).cast("binary").alias("data"), "size", "sha", F.col("last").alias("refers"))
-    firsts = light.where(F.col("id").eqNullSafe(F.col("last"))).join(tops, "sha")
+    firsts = light.where(F.col("id").eqNullSafe(F.col("last"))).join(tops, "same")
     responses = firsts.select("id", "url", F.col("top.data").alias("data"), "size", "sha", F.lit(None).cast("long").alias("refers"))
     rows = responses.unionAll(revisits)
     if min_bytes:

@@ -313,7 +313,7 @@ def test_gradients():
 
 
 def test_urls(spark):
-    rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.COM/en/7x?q#f"), (4, "https://x.com/en/1"), (5, "http://com/en/"), (6, "http://example.net/de/8"), (7, "http://m.example.net/de/9#t"), (8, "ftp://q.org/es/"), (9, "http://welcom/en/1"), (10, "a://b://c/d"), (10, "a://b://c/d"), (11, "http://www.cheap-pills.example.org/fr/3"), (12, "http://museum.example.net/fr/3"), (13, "x://ÀB?y")]
+    rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.COM/en/7x?q#f"), (4, "https://x.com/en/1"), (5, "http://com/en/"), (6, "http://example.net/de/8"), (7, "http://m.example.net/de/9#t"), (8, "ftp://q.org/es/"), (9, "http://welcom/en/1"), (10, "a://b://c/d"), (10, "a://b://c/d"), (11, "http://www.cheap-pills.example.org/fr/3"), (12, "http://museum.example.net/fr/3"), (13, "x://ÀB?y"), (14, "http://한국.kr/가나다라"), (15, "http://x.kr/😀😀😀😀😀"), (16, "http://blog.poker-stars.example.com/fr/1"), (17, "http://www.zumbalo.example.com/fr/1"), (18, "http://city-museums.example.net/fr/1")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(5)), urls.train(spark)).collect()}
     say = lambda i: tuple(got[i][c] for c in ("host", "path", "rule", "verdict"))
     assert say(1)[:3] == say(2)[:3] == ("", "", None)
@@ -322,9 +322,26 @@ def test_urls(spark):
     assert say(6)[2:] == ("example.net/de/8", "block") and say(7)[2:] == ("net/de/", "allow") and say(8)[2:] == ("org/es/", "block")
     assert say(9)[2] is None and say(10)[:2] == ("b:", "//c/d")
     assert say(11)[3] == "block" and say(12)[3] == "allow" and say(13)[0] == "Àb"
+    assert say(14)[:2] == ("한국.kr", "/가나다라") and say(14)[3] == say(15)[3] == "allow"
+    assert [say(i)[3] for i in (16, 17, 18)] == ["block", "allow", "allow"]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.train(spark)).count() == 0
 
 
+def test_urls_of_words_that_the_table_does_not_hold():
+    """Fitted without a quarter of the words: hosts of unseen words to be allowed stay; known words to be blocked are found in forms that the table lacks."""
+    score = lambda w, u: w[-1] + np.mean([w[k] for k in urls.plain_grams(u)])
+    wrong, all_ = 0, 0
+    for r in range(4):
+        keep = lambda words, r=r: [x for i, x in enumerate(words) if i % 4 != r]
+        w = urls.fit([(urls.plain_grams(u), y) for u, y in urls.labelled(keep(urls.BLOCK_WORDS), keep(urls.ALLOW_WORDS))])
+        unseen = urls.labelled([], [x for i, x in enumerate(urls.ALLOW_WORDS) if i % 4 == r])
+        wrong, all_ = wrong + sum(score(w, u) >= 0 for u, _ in unseen), all_ + len(unseen)
+    assert wrong / all_ < 0.05
+    w = urls.fit([(urls.plain_grams(u), y) for u, y in urls.LABELLED])
+    assert np.mean([score(w, f"https://{form.format(x)}.example.net/fr/77") >= 0 for x in urls.BLOCK_WORDS for form in ("big-{}", "best{}", "{}zone")]) > 0.85
+    assert not {x.split("//")[1].split("/")[0].split(".example")[0].split(".")[-1] for x, _ in urls.LABELLED} & {"cheap-pills", "free-bets", "spam-farm", "casino-win", "adult-x", "ads-track"}
+
+
 def test_warc(spark, tmp_path):
     magic = "\x1f\x8b\x08 WARC/1.1\r\n"
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/", None), (4, None, ""), (5, "u", magic * 50), (6, "u", "big " * 400_000), (7, "é\r\nX: y", "ü"), (8, "u", "same"), (8, "u", "same"), (None, "n", "same")]
@@ -342,6 +359,14 @@ def test_warc(spark, tmp_path):
         same([tuple(r) for r in got], want)
     assert {(r.payload or b"").decode() for r in warc.read(files).where("record_type = 'response'").collect()} == {r[2] or "" for r in rows}
     assert warc.read(warc.write(df.limit(0), str(tmp_path / "b"))).count() == 0
+    light = warc.read(warc.write(df, str(tmp_path / "c"), min_bytes=5)).select("page_id", "record_type", "refers_to").collect()
+    same([tuple(r) for r in light], [(i, "response", None) for i, *_ in rows])
+    import gzip
+    from pathlib import Path
+
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path / "a").glob("*.warc.gz"))
+    named = set(re.findall(rb"WARC-Record-ID: (\S+)", text))
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", text)) <= named
 
 
 def test_vectors(spark):
