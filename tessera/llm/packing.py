@@ -4,19 +4,23 @@ Documents are tokenized, closed by an end id and cut into pieces of at most ``wi
 one rest). Only the histogram of piece lengths, at most ``width`` numbers, reaches the driver. Lengths are
 placed longest first, each into the pattern with the least filled room that still holds it (the shortest
 pack), splitting pattern counts as they are used up. Patterns then become slots: a slot says which ranks of
-a length go to which sequences at which offset. Ranks within a length are dealt by buckets of a hash, with
-bucket offsets from their counts, so no task holds all pieces of a length.
+a length go to which sequences at which offset, and is found by bisection. Ranks within a length are dealt by
+buckets of a hash, about BUCKET_ROWS pieces each, with bucket offsets from their counts, so no task holds all
+pieces of a length at any size.
 
 Edge cases: a null or empty text is a document of the end id alone; an empty table gives no pieces;
-repeated rows are packed each on their own; extra columns are not carried.
+repeated rows are packed each on their own; ``pieces_of`` carries no extra columns, so none can clash; ``pack`` carries
+all of its input's and replaces none (its helpers live beside them in a struct).
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,9 +31,11 @@ from tessera.llm._common import read_table, small_batches, stage
 WIDTH = 2048
 END = 1
 CACHE = 500_000
-#: Rows of one bucket, about, and most buckets.
+#: Rows of one bucket of a length, about.
 BUCKET_ROWS = 200_000
-MAX_BUCKETS = 1024
+#: How the file of a tokenizer must cut words for ``WordCache`` to take them one by one: these parts of it are compared.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 _TAIL = b".,;:!?"
@@ -42,8 +48,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def cuts_words(file: dict) -> bool:
+    """Whether a tokenizer's file lower-cases, drops white space and tokenizes runs of letters each on their own, as ``WordCache`` supposes."""
+    pre = file.get("pre_tokenizer") or {}
+    parts = pre.get("pretokenizers") or [{}, {}]
+    split = parts[0].get("pattern") == {"Regex": SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    level = parts[-1].get("type") == "ByteLevel" and not parts[-1].get("add_prefix_space") and not parts[-1].get("use_regex")
+    plain = not any(file.get(k) for k in ("truncation", "padding")) and not file["model"].get("dropout")
+    return file.get("normalizer") == NORMAL and len(parts) == 2 and split and level and plain
+
+
 class WordCache(dict):
-    """Ids of a word as little-endian u32 bytes. No token of this vocabulary spans white space, so texts may be cut there.
+    """Ids of a word as little-endian u32 bytes; a tokenizer of another make (``cuts_words``) takes whole texts. No token of this vocabulary spans white space, so texts may be cut there.
 
     A word of Latin-1 letters, with or without marks after it, is one pre-token (and one for the marks): the model takes
     it as it is, in lower case. Any other word goes through the whole tokenizer.
@@ -55,6 +71,8 @@ class WordCache(dict):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_words(json.load(f))
         self.word = self.tok.model.tokenize
         self.letters = byte_letters()
 
@@ -77,6 +95,9 @@ class WordCache(dict):
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         for t in texts:
+            if not self.by_word:
+                yield np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                continue
             if len(self) > CACHE:
                 self.clear()
             yield b"".join(map(self.__getitem__, t.split()))
@@ -154,24 +175,34 @@ def slots_of(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """Add sequence_id and offset to a table with a ``length`` column (1..width). It is read four times: stage it first."""
-    spark, cols = pieces.sparkSession, pieces.columns
-    buckets = min(MAX_BUCKETS, max(8, pieces.count() // BUCKET_ROWS))
+    cols = pieces.columns
+    histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most ``width`` rows
+    buckets = F.element_at(F.from_json(F.lit(str([-(-histogram.get(x, 1) // BUCKET_ROWS) for x in range(1, width + 1)])), "array<bigint>"), F.col("length").cast("int"))
     row = F.struct(*[f"`{c}`" for c in cols]).alias("_row")  # own columns can't clash with helpers
-    keyed = pieces.select(row, "length", F.xxhash64(*[f"`{c}`" for c in cols]).alias("_h")).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("length", "_b").count()
+    keyed = pieces.select(row, "length", F.xxhash64(*[f"`{c}`" for c in cols]).alias("_h")).withColumn("_b", F.pmod("_h", buckets).cast("int"))
+    sizes = keyed.groupBy("length", "_b").count()  # a row for each BUCKET_ROWS pieces and length, not more than the pieces
     before = F.sum("count").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("length", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    histogram = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots: dict[int, list] = {}
     for x, *rest in slots_of(patterns(histogram, width)):
-        slots.setdefault(x, []).append(tuple(rest))
-    table = spark.createDataFrame(sorted(slots.items()), "length bigint, slots array<struct<first:bigint,n:bigint,seq:bigint,offset:bigint>>")
+        slots.setdefault(x, []).append(rest)
+    table = {x: np.array(sorted(v), np.int64) for x, v in slots.items()}  # first rank, ranks, first sequence, offset: patterns, not pieces
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(length: pd.Series, k: pd.Series) -> pd.DataFrame:
+        """Where the k-th piece of a length goes: its slot is found by bisection."""
+        length, k = length.to_numpy(), k.to_numpy()
+        seq, at = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        for x in np.unique(length):
+            own = np.flatnonzero(length == x)
+            t = table[int(x)]
+            i = np.searchsorted(t[:, 0], k[own], side="right") - 1
+            seq[own], at[own] = t[i, 2] + k[own] - t[i, 0], t[i, 3]
+        return pd.DataFrame({"sequence_id": seq, "offset": at})
+
     rank = F.row_number().over(W.partitionBy("length", "_b").orderBy("_h", "_row"))
-    ranked = keyed.withColumn("_k", rank - 1).join(F.broadcast(offsets) if len(histogram) * buckets <= 1 << 20 else offsets, ["length", "_b"])
-    ranked = ranked.withColumn("_k", F.col("_k") + F.col("_before"))
-    got = ranked.join(F.broadcast(table), "length")
-    got = got.withColumn("_s", F.filter("slots", lambda s: (s["first"] <= F.col("_k")) & (F.col("_k") < s["first"] + s["n"]))[0])
-    return got.select("_row.*", (F.col("_s.seq") + F.col("_k") - F.col("_s.first")).alias("sequence_id"), F.col("_s.offset").alias("offset"))
+    ranked = keyed.withColumn("_k", rank - 1).join(offsets, ["length", "_b"])
+    return ranked.withColumn("_s", place("length", F.col("_k") + F.col("_before"))).select("_row.*", "_s.sequence_id", "_s.offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

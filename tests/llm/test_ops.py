@@ -206,8 +206,37 @@ def test_sharding(spark, docs, edge, empty):
     got = sharding.shuffle_into_shards(edge, 3).collect()
     same([(r.doc_id, r.text, r._h, r.key) for r in got], [(*r, "x", "x") for r in EDGE])
     assert sharding.shuffle_into_shards(empty, 4).count() == 0
-    m = sharding.matrix([5, 0, 7], [4, 4, 4])
-    assert m.sum(1).tolist() == [5, 0, 7] and m.sum(0).tolist() == [4, 4, 4]
+    same_row = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one").alias("text"))
+    got = sharding.shuffle_into_shards(same_row, 4, part_rows=50).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(250)]
+    draw = lambda seed: np.array([sharding.matrix_row(p, np.cumsum([5, 0, 7]), np.array([4, 3, 5]), seed) for p in range(3)])
+    for m in map(draw, range(20)):
+        assert m.sum(1).tolist() == [5, 0, 7] and m.sum(0).tolist() == [4, 3, 5]
+
+
+def test_sharding_is_uniform(spark):
+    """Chi-square of partition-to-shard counts and of pairs of rows that were neighbours, over many seeds, against the exact expectation."""
+    cells, n = np.zeros((3, 3)), 3000
+    ends, blocks = np.cumsum([6, 3, 9]), np.array([6, 6, 6])
+    for seed in range(n):
+        cells += [sharding.matrix_row(p, ends, blocks, seed) for p in range(3)]
+    mean = n * np.array([[2.0] * 3, [1.0] * 3, [3.0] * 3])
+    assert (np.abs(cells - mean) < 5 * np.sqrt(mean)).all()
+    df, hits = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).cache(), np.zeros((4, 4))
+    for seed in range(12):
+        at = {r.doc_id: r.shard for r in sharding.shuffle_into_shards(df, 4, seed, part_rows=40).collect()}
+        for i in range(0, 400, 2):
+            hits[at[i], at[i + 1]] += 1
+    chi = ((hits - 150) ** 2 / 150).sum()
+    assert chi < 40  # 15 degrees of freedom: about one in 2000 by chance
+
+
+def test_draws_beyond_what_numpy_makes():
+    rng = np.random.default_rng(3)
+    colors = np.array([10**9, 3 * 10**9, 5, 0], np.int64)
+    for n in (0, 7, 10**9, int(colors.sum())):
+        got = sharding._drawn(rng, colors, n)
+        assert got.sum() == n and (got <= colors).all() and (got >= 0).all()
 
 
 def test_bpe(spark, docs, edge, empty):
@@ -253,6 +282,11 @@ def test_packing(spark, docs, edge, empty):
                 end += n
             assert end <= 2048
         assert sorted(seqs) == list(range(len(seqs)))
+        assert len(seqs) <= 1.02 * sum(r.length for r in got) / 2048 + 1  # padding under 2 %
+    other = packing.WordCache(path)
+    other.by_word = False
+    texts = [(t or "").encode() for _, t in EDGE]
+    assert list(other.ids(texts)) == list(packing.WordCache(path).ids(texts))
     assert packing.pack(packing.pieces_of(empty, path)).count() == 0
 
 
@@ -269,6 +303,16 @@ def test_words_apart_are_words_together():
         assert np.frombuffer(next(cache.ids([s.encode()])), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids, s
 
 
+def test_files_of_another_make_take_whole_texts():
+    import json
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = json.load(f)
+    assert packing.cuts_words(own) and not packing.cuts_words({**own, "normalizer": None})
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        assert not packing.cuts_words(json.load(f))
+
+
 def test_patterns_hold_every_length():
     rng = random.Random(6)
     hist = collections.Counter(rng.randint(1, 64) for _ in range(500))
