@@ -1,14 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each white-space-delimited word (bytes, A-Z lower-cased, framed by blanks; words above
-SPAN bytes in runs of SPAN) in both directions, labels every position, and a document's probabilities are
-the mean over the positions of all its words that hold a letter. Words are independent sequences, so the
-sums of a word are computed once per worker and kept in a bounded cache. Training is plain numpy:
-backpropagation through time with Adam on the driver, on a bounded sample of labelled documents.
+A text (UTF-8 bytes, A-Z lower-cased) is read in spans of SPAN bytes, each with CONTEXT bytes more on either
+side where the text has them, so the states of a position have seen at least that much of the text before
+and after it, across words. Both directions label every position, and a document's probabilities are the mean
+over the positions of its letters (a-z and bytes of other scripts). One more label stands for nonsense: it is
+learned from training pieces whose bytes are scrambled, is never predicted, and lowers the score. Spans of similar length run together, so
+little is padded, and a long text is cut into batches. Training is plain numpy: backpropagation through time
+with Adam on the driver, on a bounded sample: DOCS_PER_LANG labelled documents of each language, of each
+PIECES pieces of PIECE bytes at even distances over the whole text, cut out in the tasks. More labels than
+MAX_LANGS are an error, none is left out.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. No labelled row at all: every
-text is ``und``. Repeated rows are judged alike; an empty table gives an empty one; extra columns are not
-carried by ``predict`` but for the id.
+text is ``und``. A null id is held out of training and reported as not held out. Repeated rows are judged
+alike; an empty table gives an empty one; extra columns are not carried by ``predict`` but for the id and
+those named in ``keep``, so none can clash.
 """
 
 from __future__ import annotations
@@ -22,17 +27,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import read_table, small_batches
+from tessera.llm._common import buffer_of, read_table, small_batches
 
 HIDDEN = 16
-SPAN = 48
-#: Bound of the training sample: labelled documents for each language, and languages.
+SPAN = 256
+CONTEXT = 32
+#: Spans that run together.
+ROWS = 1024
+#: Bounds of the training sample.
 DOCS_PER_LANG = 250
-MAX_LANGS = 64
-WORDS_PER_LANG = 8000
-EPOCHS = 4
-BATCH = 256
-CACHE = 400_000
+PIECES, PIECE = 12, 96
+MAX_LANGS = 1024
+STEPS = 400
+SCRAMBLED = 0.2
+BATCH = 128
+#: Bytes of texts in one round of a worker, about.
+BUFFER = 4 << 20
 UND = "und"
 
 
@@ -102,80 +112,115 @@ class BiGru:
         return g
 
 
-def segments(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Framed byte runs of the words, and which word each belongs to."""
-    out, who = [], []
-    for i, w in enumerate(words):
-        for s in range(0, len(w), SPAN):
-            out.append(b" " + w[s : s + SPAN] + b" ")
-            who.append(i)
-    return out, np.array(who, np.int64)
-
-
-def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.array([len(r) for r in runs])
-    x, live = np.full((len(runs), int(lens.max())), 32, np.uint8), np.arange(int(lens.max())) < lens[:, None]
-    x[live] = np.frombuffer(b"".join(runs), np.uint8)
-    return x, live.astype(np.float32)
-
-
-def word_sums(net: BiGru, words: list[bytes]) -> np.ndarray:
-    """For each word the sums of the label probabilities over its positions, then the positions."""
-    runs, who = segments(words)
-    out = np.zeros((len(words), len(net.p["c"]) + 1), np.float32)
-    order = np.argsort([len(r) for r in runs], kind="stable")
-    for i in range(0, len(order), 2048):
-        k = order[i : i + 2048]
-        x, live = padded([runs[j] for j in k])
-        y = (net.probs(x, live)[0] * live[:, :, None]).sum(1)
-        np.add.at(out, who[k], np.concatenate([y, live.sum(1, keepdims=True)], 1))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER_BYTE = np.zeros(256, bool)
+_LETTER_BYTE[97:123] = True
+_LETTER_BYTE[128:] = True
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
+
+
+def spans_of(offs: np.ndarray, span: int = SPAN, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """(text, first, last, from, to) of each span of the texts of a buffer: it labels first..last and reads from..to."""
+    size = np.diff(offs)
+    n = -(-size // span)
+    who = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    first = offs[who] + k * span
+    last = np.minimum(first + span, offs[who + 1])
+    return who, first, last, np.maximum(first - context, offs[who]), np.minimum(last + context, offs[who + 1])
+
+
+def text_sums(net: BiGru, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each text of a buffer the sums of the label probabilities over its letters, then the letters."""
+    who, first, last, low, high = spans_of(offs)
+    out = np.zeros((len(offs) - 1, len(net.p["c"]) + 1))
+    data = np.concatenate([_LOWER[data], np.zeros(1, np.uint8)])
+    order = np.argsort(high - low, kind="stable")
+    for i in range(0, len(order), ROWS):
+        k = order[i : i + ROWS]
+        width = int((high[k] - low[k]).max())
+        at = low[k][:, None] + np.arange(width)
+        live = at < high[k][:, None]
+        x = data[np.where(live, at, len(data) - 1)]
+        y = net.probs(x, live.astype(np.float32))[0]
+        mine = ((at >= first[k][:, None]) & (at < last[k][:, None]) & _LETTER_BYTE[x]).astype(np.float32)
+        sums = np.einsum("ntk,nt->nk", y, mine, optimize=True)
+        np.add.at(out, who[k], np.concatenate([sums, mine.sum(1, keepdims=True)], 1))
     return out
 
 
-_LETTER = re.compile(rb"[a-z]")
+def scrambled(piece: bytes, rng: np.random.Generator) -> bytes:
+    """A piece in no language: its bytes in another order, its letters replaced one for one, or one or two of its bytes over and over."""
+    kind = rng.integers(0, 5)
+    x = _LOWER[np.frombuffer(piece, np.uint8)]
+    if kind < 2:
+        return rng.permutation(x).tobytes()
+    if kind < 4:
+        table = np.arange(256, dtype=np.uint8)
+        table[97:123] = rng.permutation(table[97:123])
+        table[128:] = rng.permutation(table[128:])
+        return table[x].tobytes()
+    return rng.choice(x, max(1, len(x) // 40)).repeat(len(x))[: len(x)].tobytes()
 
 
-def has_letter(word: bytes) -> bool:
-    return bool(_LETTER.search(word)) or (max(word) > 127 and any(c.isalpha() for c in word.decode("utf-8", "replace")))
+def train(rows: list[tuple[bytes, str]], seed: int = 5) -> tuple[list[str], BiGru]:
+    """Fit on (piece of a text, lang) pairs; each step takes pieces of all languages in equal shares, SCRAMBLED of them made nonsense.
 
-
-def train(rows: list[tuple[str, str]], seed: int = 5) -> tuple[list[str], BiGru]:
-    """Fit on (text, lang) pairs."""
+    Nonsense is one more label of the network, after the languages.
+    """
     langs = sorted({x for _, x in rows})
     rng = np.random.Generator(np.random.PCG64(seed))
-    net, words, labels = BiGru(len(langs), seed=seed), [], []
-    for k, lang in enumerate(langs):
-        own = [w for t, x in rows if x == lang for w in t.encode().lower().split() if has_letter(w)]
-        pick = rng.permutation(len(own))[:WORDS_PER_LANG] if len(own) >= WORDS_PER_LANG else rng.integers(0, max(1, len(own)), WORDS_PER_LANG * bool(own))
-        runs, _ = segments([own[i] for i in pick])
-        words += runs
-        labels += [k] * len(runs)
-    lab, m, step = np.array(labels), {}, 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(words))
-        order = np.concatenate([c[np.argsort([len(words[i]) for i in c], kind="stable")] for c in np.array_split(order, max(1, len(order) // 8192))]) if len(order) else order
-        batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-        for j in rng.permutation(len(batches)):
-            x, live = padded([words[i] for i in batches[j]])
-            step += 1
-            rate = 0.01 * (1 - 0.8 * epoch / EPOCHS)
-            for name, g in net.grads(x, live, lab[batches[j]]).items():
-                a, b = m.get(name, (0, 0))
-                a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
-                m[name] = a, b
-                net.p[name] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    net, m = BiGru(len(langs) + 1, seed=seed), {}
+    own = [[t for t, x in rows if x == lang] for lang in langs]
+    for step in range(1, STEPS + 1):
+        lab = rng.permutation(np.arange(BATCH) % len(langs)) if len(langs) <= BATCH else rng.integers(0, len(langs), BATCH)
+        pieces = [own[k][rng.integers(0, len(own[k]))] for k in lab]
+        for i in np.flatnonzero(rng.random(BATCH) < SCRAMBLED):
+            pieces[i], lab[i] = scrambled(pieces[i], rng), len(langs)
+        width = max(map(len, pieces))
+        live = np.arange(width) < np.array([len(t) for t in pieces])[:, None]
+        x = np.zeros(live.shape, np.uint8)
+        x[live] = _LOWER[np.frombuffer(b"".join(pieces), np.uint8)]
+        rate = 0.02 * (1 - 0.9 * step / STEPS)
+        for name, g in net.grads(x, live.astype(np.float32), lab).items():
+            a, b = m.get(name, (0, 0))
+            a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
+            m[name] = a, b
+            net.p[name] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return langs, net
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_lang`` labelled training documents of each language, by the order of a hash of their id."""
+def sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = DOCS_PER_LANG) -> list[tuple[bytes, str]]:
+    """Pieces of at most ``per_lang`` labelled training documents of each language, which are the first by a hash of their id."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     order = W.partitionBy(lang).orderBy(F.xxhash64(id_col), id_col)
-    ids = rows.select(id_col, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
-    langs = [r[lang] for r in ids.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()]
-    keep = [r[id_col] for r in ids.where(F.col(lang).isin(langs)).select(id_col).collect()]
-    got = rows.where(F.col(id_col).isin(keep)).select(id_col, text, lang).orderBy(id_col, lang, text).limit(per_lang * MAX_LANGS).collect()
-    return [(r[text], r[lang]) for r in got if r[lang] in langs]
+    ids = rows.select(id_col, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).drop("_n").distinct()
+    small_batches(df.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who, parts = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                step = max(1, (len(t) - PIECE) // (PIECES - 1))
+                for s in range(0, max(1, len(t) - PIECE + 1), step):
+                    if len(parts_ := t[s : s + PIECE]) and has_letter(parts_):
+                        who.append(i)
+                        parts.append(parts_)
+            at = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(parts, pa.binary())], names=["id", "lang", "piece"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    picked = rows.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
+    picked = picked.join(F.broadcast(ids.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))), ["id", "lang"])  # at most per_lang ids a language
+    got = picked.mapInArrow(cut, f"id {kind}, lang string, piece binary").orderBy("id", "lang", "piece").collect()
+    if len({r["lang"] for r in got}) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages are labelled")
+    return [(bytes(r["piece"]), r["lang"]) for r in got]
 
 
 def held_out(id_col):
@@ -187,26 +232,20 @@ def predict(df: DataFrame, langs: list[str], net: BiGru | None, id_col: str = "d
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, cache = len(langs) + 1, {}
-        nothing = np.zeros(n, np.float32).tobytes()
         for b in batches:
-            split = [(t or b"").lower().split() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            pred, score = [], []
-            for i in range(0, len(split), 64):
-                new = set().union(*split[i : i + 64]).difference(cache)
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = set().union(*split[i : i + 64])
-                letters = [w for w in new if has_letter(w)]
-                cache.update(dict.fromkeys(new, nothing))
-                if letters and net is not None:
-                    for w, s in zip(letters, word_sums(net, letters), strict=True):
-                        cache[w] = s.tobytes()
-                for words in split[i : i + 64]:
-                    total = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.float32).reshape(-1, n).sum(0, dtype=np.float64) if words else np.zeros(n)
-                    best = int(total[:-1].argmax()) if total[-1] else -1
-                    pred.append(langs[best] if best >= 0 else UND)
-                    score.append(min(1.0, float(total[best] / total[-1])) if best >= 0 else 0.0)
+            texts = b.column(1).cast(pa.binary())
+            judged = [bool(t) and has_letter(t) for t in texts.to_pylist()]
+            pred, score = [UND] * b.num_rows, [0.0] * b.num_rows
+            size = np.cumsum([0, *(len(t) if ok else 0 for t, ok in zip(texts.to_pylist(), judged, strict=True))])
+            lo = 0
+            while lo < b.num_rows and net is not None:  # about BUFFER bytes at once, or one text
+                hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(size, size[lo] + BUFFER, side="right")) - 1))
+                some = [i for i in range(lo, hi) if judged[i]]
+                if some:
+                    for i, total in zip(some, text_sums(net, *buffer_of(texts.take(pa.array(some)))), strict=True):
+                        best = int(total[:-2].argmax())
+                        pred[i], score[i] = langs[best], min(1.0, float(total[best] / total[-1]))
+                lo = hi
             cols = [b.column(0), *(b.column(2 + i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, *keep, "lang_pred", "score"])
 
@@ -222,4 +261,4 @@ def fit(df: DataFrame) -> tuple[list[str], BiGru | None]:
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     got = predict(docs, *fit(docs))
-    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -333,10 +333,33 @@ def test_langid(spark, edge, empty):
     assert all(0 <= r.score <= 1 for r in got)
     none = {(r.doc_id, r.lang_pred) for r in langid.predict(edge, *langid.fit(df)).collect()}
     assert {(1, "und"), (2, "und"), (8, "und")} <= none and (3, "und") not in none
+    rng, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyz    "
+    junk = [(i, "".join(rng.choice(letters) for _ in range(n))) for i, n in enumerate((60, 200, 1000, 5000) * 5)] + [(90, "x" * 500), (91, "это русский текст о кошке и собаке " * 5)]
+    low = langid.predict(spark.createDataFrame(junk, SCHEMA), *langid.fit(df)).collect()
+    assert max(r.score for r in low) < 0.05 < min(r.score for r in got if r.lang_pred != "und")
+    assert {r.lang_pred for r in low} <= {"de", "en", "es", "fr"}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "MAX_LANGS", 3)
+        with pytest.raises(ValueError):
+            langid.sample(df)
     assert langid.fit(empty) == ([], None) and langid.predict(empty, [], None).count() == 0
     assert {r.lang_pred for r in langid.predict(edge, [], None).collect()} == {"und"}
 
 
+def test_langid_sees_across_words_and_cuts_texts_without_loss():
+    net = langid.BiGru(4, 4)
+    text = b"Eins zwei, drei " * 40
+    data, offs = np.frombuffer(text + b"abc" + text[:7], np.uint8), np.array([0, len(text), len(text), len(text) + 3, len(text) + 10])
+    got = langid.text_sums(net, data, offs)
+    assert got[:, -1].tolist() == [len(re.findall(rb"[A-Za-z]", t)) for t in (text, b"", b"abc", text[:7])]
+    who, first, last, low, high = langid.spans_of(offs, 32, 16)
+    covered = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])
+    assert sorted(covered.tolist()) == list(range(len(data))) and (first - low <= 16).all() and (low >= offs[who]).all() and (high <= offs[who + 1]).all()
+    a, b = (langid.text_sums(net, np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"aaa bbb ccc", b"zzz bbb ccc"))
+    x, y = (net.probs(np.frombuffer(t, np.uint8)[None], np.ones((1, 11), np.float32))[0][0, 4:7] for t in (b"aaa bbb ccc", b"zzz bbb ccc"))
+    assert not np.allclose(x, y) and not np.allclose(a, b)  # the labels of a word depend on the words before it
+
+
 def test_gradients():
     net, rng = langid.BiGru(3, 4), np.random.default_rng(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

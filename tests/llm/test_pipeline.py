@@ -29,7 +29,8 @@ def test_stages(spark, tmp_path):
         after = docs.select("doc_id", "text").collect()
         if name == "language":
             gone = {r.doc_id for r in before} - {r.doc_id for r in after}
-            assert gone == {100001, 100002, 100008}
+            assert {100001, 100002, 100008} <= gone <= {100000 + r[0] for r in EDGE if r[0]}
+            assert {100007, 100010} <= gone  # a language that no document teaches
         elif name == "near_duplicates":
             want = {i for i, _, c in brute_near([tuple(r) for r in before], *cp.NEAR) if i == c}
             assert {r.doc_id for r in after} == want
