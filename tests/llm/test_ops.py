@@ -460,12 +460,74 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_vectors_hot_shard_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD_CAP", 50)
+def links_of(x):
+    """(links, component) of each row, by brute force."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T >= 0.9
+    np.fill_diagonal(sim, False)
+    lab = np.arange(len(x))
+    while True:
+        new = np.array([min(lab[i], lab[s].min(initial=len(x))) for i, s in enumerate(sim)])
+        new = new[new]
+        if (new == lab).all():
+            return sim.sum(1), lab
+        lab = new
+
+
+def vector_rows(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("cap", [50, 4096])
+def test_vectors_dense_groups(spark, monkeypatch, cap):
+    """Groups that no pair is formed for, rows near enough to reach into them, and a group too wide for a ball: exact."""
+    monkeypatch.setattr(vectors, "SHARD_CAP", cap)
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(1, 8)) + rng.normal(size=(200, 8)) * 0.01
-    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
-    assert {(r.n_links, r.component_id) for r in got} == {(199, 0)}
+    mid = rng.normal(size=(3, 24))
+    mid[1] = mid[0] + rng.normal(size=24) * 0.42  # two balls whose members partly link
+    x = np.concatenate([mid[0] + rng.normal(size=(150, 24)) * 0.05, mid[1] + rng.normal(size=(120, 24)) * 0.05, mid[0] + rng.normal(size=(60, 24)) * rng.uniform(0.2, 0.6, (60, 1)), mid[2] + rng.normal(size=(90, 24)) * 0.3, rng.normal(size=(200, 24))])
+    x = x[rng.permutation(len(x))]
+    got = {r.vec_id: r for r in vectors.near_vectors(vector_rows(spark, x)).collect()}
+    links, lab = links_of(x)
+    assert len(vectors.pivots(vectors.unit(x), 0.9)) >= 2
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == lab.tolist()
+
+
+def test_vectors_group_beside_sparse_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 16)
+    monkeypatch.setattr(vectors, "GROUP", 10**6)  # no balls: the graph has to find all
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(500, 32))
+    away = rng.normal(size=a.shape)
+    x = np.concatenate([a, a + 0.4 * away, rng.normal(size=(1, 32)) + rng.normal(size=(500, 32)) * 0.1])
+    got = {r.vec_id: r for r in vectors.near_vectors(vector_rows(spark, x)).collect()}
+    links, lab = links_of(x)
+    have = np.array([got[i].n_links for i in range(len(x))])
+    assert (have <= links).all() and have.sum() >= 0.98 * links.sum()
+    some = links[:1000] > 0
+    assert some.sum() > 100 and (have[:1000][some] / links[:1000][some]).mean() >= 0.98
+
+
+def test_vectors_ids_shared_by_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (2, [0.01, 1.0]), (-3, [-1.0, 0.0]), (-3, [-1.0, 0.01])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(-3, 1, -3), (-3, 1, -3), (1, 0, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1)]
+
+
+def test_vectors_at_twenty_thousand(spark):
+    """Planted pairs among random vectors, too few to tell the audit much: recall against brute force."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(300, 64))
+    away -= (away * x[:300]).sum(1, keepdims=True) * x[:300]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.93, (300, 1))
+    x[10_000:10_300] = c * x[:300] + np.sqrt(1 - c * c) * away
+    got = {r.vec_id: r for r in vectors.near_vectors(vector_rows(spark, x)).collect()}
+    assert np.mean([got[i].n_links == 1 and got[10_000 + i].component_id == i for i in range(300)]) >= 0.97
+    assert sum(r.n_links for r in got.values()) <= 600
 
 
 def test_vectors_audit_sees_lost_pairs_beside_a_hot_group(spark):
