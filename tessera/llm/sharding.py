@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import read_table
 
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 SEED = 17
 #: What numpy's hypergeometric draws allow.
 LARGEST = 10**9
