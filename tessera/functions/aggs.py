@@ -120,13 +120,23 @@ def user(f, kind="double"):
 
 
 def topk(c, k, rev=False):
-    """Up to k largest values of a group, descending, as a list; rev: smallest, ascending."""
+    """Up to k largest values of a group, descending, as a list (rev: smallest, ascending); all null: one null.
+
+    The group's values are held at once; ``Frame.topk_groups`` cuts groups before they are exchanged.
+    """
     got = F.array_sort(F.collect_list(_c(c)))
-    return F.slice(got if rev else F.reverse(got), 1, k)
+    return F.when(F.size(got) == 0, F.array(F.max(_c(c)))).otherwise(F.slice(got if rev else F.reverse(got), 1, k))
 
 
 def topkperm(c, idx, k, rev=False):
-    """The indices of the topk values; ties by the smaller index."""
+    """The indices of the topk values, of any sortable type; ties by the smaller index; all null: one null."""
     x, i = _c(c), _c(idx)
-    got = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct((x if rev else -x).alias("x"), i.alias("i")))))
-    return F.slice(F.transform(got, lambda s: s["i"]), 1, k)
+    held = F.collect_list(F.when(x.isNotNull(), F.struct(x.alias("x"), i.alias("i"))))
+    first = lambda a, b: (a["x"] < b["x"]) if rev else (a["x"] > b["x"])
+    order = lambda a, b: F.when(first(a, b), -1).when(first(b, a), 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
+    got = F.slice(F.transform(F.array_sort(held, order), lambda s: s["i"]), 1, k)
+    return F.when(F.size(held) == 0, F.array(F.max(F.when(x.isNotNull(), i)))).otherwise(got)
+
+
+#: Functions of numbers: Frame hands booleans over as 1 and 0.
+NUMERIC = {sum_, mean, var, std, median, wsum, wmean, cor, cov}

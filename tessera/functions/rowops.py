@@ -56,8 +56,11 @@ def row_isequal(cols, with_=None) -> Column:
     return both(first.eqNullSafe(c) for c in cs)
 
 
-def row_isless(cols, with_, rev=False) -> Column:
+def row_isless(cols, with_, rev=False, lt=None) -> Column:
+    """All below ``with_`` (rev: above). ``lt(a, b)`` replaces the order."""
     w = _c([with_])[0]
+    if lt:
+        return both(F.coalesce(lt(w, c) if rev else lt(c, w), F.lit(False)) for c in _c(cols))
     return both(isless(w, c) if rev else isless(c, w) for c in _c(cols))
 
 
@@ -66,8 +69,11 @@ def row_in(item, cols, eq=None) -> Column:
     return either(F.coalesce(eq(x, c), F.lit(False)) if eq else x.eqNullSafe(c) for c in _c(cols))
 
 
-def row_findfirst(names, by=True, last=False) -> Column:
-    hits = [F.when(matches(by)(F.col(n)), F.lit(n)) for n in names]
+def row_findfirst(names, by=True, last=False, item=None, eq=None) -> Column:
+    """Name of the first (last) column that ``by`` holds for, or that equals the column or value ``item`` (by ``eq``)."""
+    x = None if item is None else _c([item])[0] if isinstance(item, (str, Column)) else F.lit(item)
+    test = matches(by) if x is None else (lambda c: eq(c, x)) if eq else (lambda c: c.eqNullSafe(x))
+    hits = [F.when(test(F.col(n)), F.lit(n)) for n in names]
     return F.coalesce(*(hits[::-1] if last else hits))
 
 
@@ -116,16 +122,20 @@ def row_argmin(names, by=None) -> Column:
     return F.coalesce(*[F.when(c == low, F.lit(n)) for n, c in zip(names, _c(names, by), strict=True)])
 
 
+def _var(cols, dof, root) -> Column:
+    cs, d = [c.cast("double") for c in _c(cols)], 1 if dof else 0
+    n = row_n(cols)
+    s, ss = (reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in xs]) for xs in (cs, [c * c for c in cs]))
+    v = F.greatest((ss - s * s / n) / (n - d), F.lit(0.0))
+    return F.when(n > d, F.sqrt(v) if root else v)
+
+
 def row_var(cols, dof=True) -> Column:
-    cs = [c.cast("double") for c in _c(cols)]
-    n, s = row_n(cols), row_sum(cs)
-    ss = row_sum([c * c for c in cs])
-    m = F.nullif(n, F.lit(0))
-    return (ss / m - (s / m) * (s / m)) * m / F.nullif(n - (1 if dof else 0), F.lit(0))
+    return _var(cols, dof, False)
 
 
 def row_std(cols, dof=True) -> Column:
-    return F.sqrt(F.greatest(row_var(cols, dof), F.lit(0.0)) + F.lit(0) * row_var(cols, dof))
+    return _var(cols, dof, True)
 
 
 def row_nunique(cols, by=None, count_missing=True) -> Column:
@@ -176,12 +186,19 @@ def row_stdze(names) -> dict[str, Column]:
 
 
 def row_hash(cols, by=None) -> Column:
-    return F.xxhash64(*_c(cols, by))
+    """64-bit hash that tells a null from its place: the function itself skips nulls."""
+    return F.xxhash64(*[F.struct(c.isNull(), c) for c in _c(cols, by)])
+
+
+def _text(c: Column) -> Column:
+    """Value as text; booleans, whose type only the plan knows, as 1 and 0."""
+    flag = F.when(c.cast("string") == "true", "1").otherwise("0")
+    return F.when(F.typeof(c) == "boolean", F.when(c.isNotNull(), flag)).otherwise(c.cast("string"))
 
 
 def row_join(cols, delim="", last=None) -> Column:
     """Values as text: null is empty, true and false are 1 and 0; ``last`` replaces the last delimiter."""
-    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in _c(cols)]
+    parts = [F.coalesce(_text(c), F.lit("")) for c in _c(cols)]
     if last is None or len(parts) < 2:
         return F.concat_ws(delim, *parts)
     return F.concat(F.concat_ws(delim, *parts[:-1]), F.lit(last), parts[-1])
@@ -190,3 +207,25 @@ def row_join(cols, delim="", last=None) -> Column:
 def row_mapreduce(cols, f, op, init=None) -> Column:
     xs = _c(cols, f)
     return reduce(op, xs, init) if init is not None else reduce(op, xs)
+
+
+def row_call(f, cols) -> Column:
+    """f(c1, c2, ...) of the columns."""
+    return f(*_c(cols))
+
+
+def row_cast(cols, kind: str, strict: bool = True) -> dict[str, Column]:
+    """Columns (by name) in another type; what can't be cast raises, or is null unless ``strict``."""
+    return {c: F.col(c).cast(kind) if strict else F.col(c).try_cast(kind) for c in cols}
+
+
+def row_apply(cols, f, kind: str = "double") -> Column:
+    """f(list of the row's values) by Python, in Arrow batches: for functions that columns can't express."""
+    import pandas as pd
+
+    @F.pandas_udf(kind)
+    def run(rows: pd.DataFrame) -> pd.Series:
+        clean = rows.astype(object).where(rows.notna(), None)
+        return pd.Series([f(list(r)) for r in clean.itertuples(index=False, name=None)])
+
+    return run(F.struct(*_c(cols)))

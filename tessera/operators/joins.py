@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.nulls import both, isle, isless
+from tessera.operators import sets
 from tessera.selectors import make_unique
 
 
@@ -36,14 +39,23 @@ def left_join(left, right, on, formats=None) -> DataFrame:
     return left.join(r, cond, "left").select(*[left[c] for c in left.columns], *new)
 
 
-def left_join_unique(left, right, on) -> DataFrame:
+def _sided(keys, formats=None):
+    """Makers of the key columns that joins see: (left's i-th, right's i-th) with formats."""
+    l_fmt, r_fmt = (formats or {}).get("left", {}), (formats or {}).get("right", {})
+    same = lambda c: c
+    return [l_fmt.get(a, same)(F.col(a)) for a, _ in keys], [r_fmt.get(b, same)(F.col(b)) for _, b in keys]
+
+
+def left_join_unique(left, right, on, formats=None) -> DataFrame:
     """As left_join, but more than one match of a left row raises at run time."""
     keys = keys_of(on)
-    used = right.join(left.select(*[F.col(a).alias(f"_u{i}") for i, (a, _) in enumerate(keys)]).distinct(), both(right[b].eqNullSafe(F.col(f"_u{i}")) for i, (_, b) in enumerate(keys)), "left_semi")
-    w = W.partitionBy(*[b for _, b in keys])
+    ls, rs = _sided(keys, formats)
+    asked = left.select(*[c.alias(f"_u{i}") for i, c in enumerate(ls)]).distinct()
+    used = right.join(asked, both(c.eqNullSafe(F.col(f"_u{i}")) for i, c in enumerate(rs)), "left_semi")
+    w = W.partitionBy(*rs)
     one = used.withColumn("_n", F.count("*").over(w))
     one = one.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("a left row has several matches")).cast("long")).otherwise(F.col("_n"))).where("_n >= 0").drop("_n")
-    return left_join(left, one, on)
+    return left_join(left, one, on, formats)
 
 
 def inner_join(left, right, on, formats=None) -> DataFrame:
@@ -51,12 +63,12 @@ def inner_join(left, right, on, formats=None) -> DataFrame:
     return left.join(r, cond, "inner").select(*[left[c] for c in left.columns], *new)
 
 
-def outer_join(left, right, on, source: str | None = None) -> DataFrame:
+def outer_join(left, right, on, source: str | None = None, formats=None) -> DataFrame:
     """Full outer with keys coalesced; ``source`` names a column that says left, right or both."""
     keys = keys_of(on)
-    r, cond, new, _ = _prepared(left.withColumn("_in_l", F.lit(True)), right.withColumn("_in_r", F.lit(True)), keys)
-    tagged = left.withColumn("_in_l", F.lit(True))
-    cond = both(tagged[a].eqNullSafe(r[f"_k{i}"]) for i, (a, _) in enumerate(keys))
+    r, cond, new, _ = _prepared(left.withColumn("_in_l", F.lit(True)), right.withColumn("_in_r", F.lit(True)), keys, formats)
+    tagged, l_fmt = left.withColumn("_in_l", F.lit(True)), (formats or {}).get("left", {})
+    cond = both(l_fmt.get(a, lambda c: c)(tagged[a]).eqNullSafe(r[f"_k{i}"]) for i, (a, _) in enumerate(keys))
     place = {a: i for i, (a, _) in enumerate(keys)}
     out = tagged.join(r, cond, "full")
     cols = [F.when(F.col("_in_l"), tagged[c]).otherwise(F.col(f"_v{place[c]}")).alias(c) if c in place else tagged[c] for c in left.columns]
@@ -74,47 +86,113 @@ def range_condition(x, start, end, strict=(False, False)):
     return both(conds)
 
 
-def range_join(left, right, equal, key: str, start: str | None, end: str | None, strict=(False, False), how="inner", bin_width=None) -> DataFrame:
-    """Rows whose ``key`` lies in the right row's range, within equal keys.
+LEVEL = 32
+
+
+def _axis(df: DataFrame, c: str) -> Column:
+    """A numeric or time column as a number that keeps its order."""
+    kind = df.schema[c].dataType.typeName()
+    if kind in ("string", "binary", "boolean", "array", "struct", "map"):
+        raise ValueError(f"ranges over {kind} need equal keys")
+    return (F.col(c).cast("timestamp") if kind in ("timestamp_ntz", "date") else F.col(c)).cast("double")
 
-    Without equal keys ``bin_width`` cuts the axis into bins: intervals go to each bin they touch, points to
-    theirs, and the bin is the join key, so nothing is a cross join. Only two-sided ranges can be binned; they end
-    at the largest ``key``. A null end is open; a null key or start matches nothing. how may be inner, left, left_semi or
-    left_anti: a left row is in one bin, so it comes out as it would without bins.
+
+def _binned(left: DataFrame, right: DataFrame, key: str, start: str | None, end: str | None, width: float | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _lvl and _bin, on which pairs whose ranges may hold meet once: no cross join.
+
+    The axis is cut into bins of several levels, each LEVEL times as wide as the one before; an interval goes to the bins it touches on
+    the first level where these are few (LEVEL + 1 at most), a point to one bin of each level that any interval is on. An open
+    end is the other side's extreme. The first width is the median length of the intervals unless given.
+    """
+    x = _axis(left, key)
+    ends = left.agg(F.min(x), F.max(x)).first()
+    low, high = (F.lit(v).cast("double") for v in ends)
+    s = F.greatest(low, _axis(right, start)) if start else low
+    e = F.least(high, F.coalesce(_axis(right, end), high)) if end else high
+    rs = right.withColumn("_s", s if not start else F.when(F.col(start).isNotNull(), s)).withColumn("_e", e).where("_s <= _e")
+    size = F.col("_e") - F.col("_s")
+    if width is None:
+        width = rs.agg(F.percentile_approx(size, 0.5)).first()[0] or 0.0
+        width = max(float(width), ((ends[1] or 0.0) - (ends[0] or 0.0)) / 2**20) or 1.0
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size / width, F.lit(1.0))) / math.log(LEVEL)) - 1).cast("int")
+    rs = rs.withColumn("_lvl", level)
+    levels = sorted(r["_lvl"] for r in rs.select("_lvl").distinct().collect())  # a handful: one for each power of LEVEL
+    step = F.lit(float(width)) * F.pow(F.lit(float(LEVEL)), F.col("_lvl"))
+    place = lambda c: F.floor(c / step).cast("long")
+    rb = rs.withColumn("_bin", F.explode(F.sequence(place(F.col("_s")), place(F.col("_e"))))).drop("_s", "_e")
+    lb = left.withColumn("_lvl", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_bin", place(x))
+    return lb, rb
+
+
+def range_join(left, right, equal, key: str, start: str | None, end: str | None, strict=(False, False), how="inner", bin_width=None, formats=None, droprangecols=True) -> DataFrame:
+    """Rows whose ``key`` lies in the right row's range, within equal keys. how: inner, left, left_semi or left_anti.
+
+    Without equal keys the axis is cut into bins (``_binned``), so nothing is a cross join. A null end is open; of two-sided
+    ranges, a null key or start matches nothing. ``droprangecols=False`` keeps the right side's start and end.
     """
     keys = keys_of(equal) if equal else []
-    drop = [c for c in (start, end) if c]
-    if bin_width is None:
-        r, cond, new, _ = _prepared(left, right, keys)
-        cond = cond & range_condition(left[key], r[start] if start else None, r[end] if end else None, strict)
-        if how in ("left_semi", "left_anti"):
-            return left.join(r, cond, how)
-        return left.join(r, cond, how).select(*[left[c] for c in left.columns], *[c for c in new if c not in drop])
-    width = F.lit(bin_width)
-    lb = left.withColumn("_bin", F.floor(F.col(key).cast("double") / width).cast("long"))
-    low, high = F.floor(F.col(start).cast("double") / width).cast("long"), F.floor(F.col(end).cast("double") / width).cast("long")
-    top = left.agg(F.max(F.floor(F.col(key).cast("double") / width))).first()[0]
-    last = F.least(F.coalesce(high, F.lit(2**62)), F.lit(int(top) if top is not None else -(2**62)))
-    some = F.when(F.col(end).isNull() | isle(F.col(start), F.col(end)), F.when(low <= last, F.sequence(low, last)))
-    rb = right.withColumn("_bin", F.explode(some))
-    return range_join(lb, rb, [*keys, ("_bin", "_bin")], key, start, end, strict, how).drop("_bin")
-
-
-def semi_join(left, right, on) -> DataFrame:
-    r, cond, _, _ = _prepared(left, right, keys_of(on))
+    if how in ("left_semi", "left_anti"):
+        flags = _range_flags(left, right, keys, key, start, end, strict, "_hit", bin_width, formats)
+        return flags.where("_hit" if how == "left_semi" else "not _hit").drop("_hit")
+    drop = [c for c in (start, end) if c] if droprangecols else []
+    if keys:
+        lb, rb, on = left, right, keys
+    else:
+        lb, rb = _binned(left, right, key, start, end, bin_width)
+        on = [("_lvl", "_lvl"), ("_bin", "_bin")]
+    r, cond, new, _ = _prepared(lb, rb, on, formats)
+    rest = [c for c in rb.columns if c not in [b for _, b in on]]
+    named = dict(zip(rest, new, strict=True))
+    cond = cond & range_condition(lb[key], r[named[start]] if start else None, r[named[end]] if end else None, strict)
+    hit = lb.join(r, cond, how if keys else "inner").select(*[lb[c] for c in left.columns], *[F.col(named[c]) for c in rest if c not in drop])
+    if how == "left" and not keys:
+        alone = range_join(left, right, None, key, start, end, strict, "left_anti", bin_width)
+        hit = hit.unionByName(alone, allowMissingColumns=True)
+    return hit
+
+
+def _range_flags(left, right, keys, key, start, end, strict, name, bin_width=None, formats=None) -> DataFrame:
+    """left plus whether any right row's range holds its key. One-sided ranges need the extreme bound of their equal keys only."""
+    ls, rs = _sided(keys, formats)
+    probe = [c.alias(f"_q{i}") for i, c in enumerate(ls)]
+    asked = left.select(*probe, F.col(key).alias("_x")).distinct()
+    if start is not None and end is not None:
+        r = right.select(*[c.alias(f"_q{i}") for i, c in enumerate(rs)], F.col(start).alias("_from"), F.col(end).alias("_to"))
+        met = range_join(asked, r, [f"_q{i}" for i in range(len(keys))], "_x", "_from", "_to", strict, "inner", bin_width).select(*asked.columns).distinct()
+    else:
+        bound = F.min(start) if start is not None else F.when(F.max(F.col(end).isNull()), None).otherwise(F.max(end))
+        best = right.groupBy(*[c.alias(f"_r{i}") for i, c in enumerate(rs)]).agg(bound.alias("_best"), F.lit(True).alias("_any"))
+        if keys:
+            met = asked.join(best, both(asked[f"_q{i}"].eqNullSafe(best[f"_r{i}"]) for i in range(len(keys))))
+            edge = F.col("_best")
+        else:
+            row = right.agg(bound.cast("string").alias("b"), F.count("*").alias("n")).first()
+            met, edge = asked.where(F.lit(row["n"] > 0)), F.lit(row["b"]).cast(right.schema[start or end].dataType)
+        met = met.where(range_condition(F.col("_x"), edge if start is not None else None, edge if end is not None else None, strict)).select(*asked.columns)
+    met = met.toDF(*[f"_m{i}" for i in range(len(keys))], "_mx").withColumn(name, F.lit(True))
+    cond = both([*[c.eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(ls)], F.col(key).eqNullSafe(F.col("_mx"))])
+    return left.join(met, cond, "left").select(*[left[c] for c in left.columns], F.coalesce(name, F.lit(False)).alias(name))
+
+
+def semi_join(left, right, on, formats=None) -> DataFrame:
+    r, cond, _, _ = _prepared(left, right, keys_of(on), formats)
     return left.join(r, cond, "left_semi")
 
 
-def anti_join(left, right, on) -> DataFrame:
-    r, cond, _, _ = _prepared(left, right, keys_of(on))
+def anti_join(left, right, on, formats=None) -> DataFrame:
+    r, cond, _, _ = _prepared(left, right, keys_of(on), formats)
     return left.join(r, cond, "left_anti")
 
 
-def contains(left, right, on, name="contains") -> DataFrame:
-    """left plus whether its key occurs on the right."""
+def contains(left, right, on, name="contains", strict=(False, False), formats=None) -> DataFrame:
+    """left plus whether its key occurs on the right. The last of ``on`` may be (key, (start, end)): a range, either end may be None."""
     keys = keys_of(on)
-    flags = right.select(*[F.col(b).alias(f"_c{i}") for i, (_, b) in enumerate(keys)]).distinct().withColumn(name, F.lit(True))
-    out = left.join(flags, both(left[a].eqNullSafe(flags[f"_c{i}"]) for i, (a, _) in enumerate(keys)), "left")
+    if isinstance(keys[-1][1], tuple):
+        key, (start, end) = keys[-1]
+        return _range_flags(left, right, keys[:-1], key, start, end, strict, name, None, formats)
+    ls, rs = _sided(keys, formats)
+    flags = right.select(*[c.alias(f"_c{i}") for i, c in enumerate(rs)]).distinct().withColumn(name, F.lit(True))
+    out = left.join(flags, both(c.eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(ls)), "left")
     return out.select(*left.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
@@ -123,7 +201,7 @@ def with_multiple_match(joined: DataFrame, left_id: str, name="multiple_match")
     return joined.withColumn(name, F.count("*").over(W.partitionBy(left_id)) > 1)
 
 
-def update(main, trans, on, order, mode=None, op=None, allowmissing=False) -> DataFrame:
+def update(main, trans, on, order, mode=None, op=None, allowmissing=False, formats=None) -> DataFrame:
     """Common columns of main overwritten by the last transaction of their key.
 
     mode: "missings" (default; "all" with op), or a predicate on the old value. op(old, new) combines.
@@ -133,8 +211,9 @@ def update(main, trans, on, order, mode=None, op=None, allowmissing=False) -> Da
     test = {"missings": lambda c: c.isNull(), "all": lambda c: F.lit(True)}.get(mode, mode) if isinstance(mode, str) else mode
     common = [c for c in main.columns if c in trans.columns and c not in [a for a, _ in keys]]
     order = [order] if isinstance(order, str) else order
-    last = trans.groupBy(*[F.col(b).alias(f"_t{i}") for i, (_, b) in enumerate(keys)]).agg(F.max_by(F.struct(*common), F.struct(*order)).alias("_new"), F.lit(True).alias("_hit"))
-    out = main.join(last, both(main[a].eqNullSafe(last[f"_t{i}"]) for i, (a, _) in enumerate(keys)), "left")
+    ls, rs = _sided(keys, formats)
+    last = trans.groupBy(*[c.alias(f"_t{i}") for i, c in enumerate(rs)]).agg(F.max_by(F.struct(*common), F.struct(*order)).alias("_new"), F.lit(True).alias("_hit"))
+    out = main.join(last, both(c.eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(ls)), "left")
     cols = []
     for c in main.columns:
         if c not in common:
@@ -146,40 +225,64 @@ def update(main, trans, on, order, mode=None, op=None, allowmissing=False) -> Da
     return out.select(*cols)
 
 
-def compare(left, right, on, cols, eq=None) -> DataFrame:
-    """Columns side by side on keys: "a=>b" is eq(a, b), null if a side has no row."""
+def compare(left, right, on, cols, eq=None, formats=None, on_formats=None, obs_ids=None) -> DataFrame:
+    """Columns side by side on keys: "a=>b" is eq(a, b), null if a side has no row.
+
+    formats are applied to the compared columns, on_formats to the keys; obs_ids=(left id, right id) adds obs_id_left and obs_id_right.
+    """
     keys = keys_of(on)
     eq = eq or (lambda a, b: a.eqNullSafe(b))
     pairs = [(c, c) if isinstance(c, str) else c for c in cols]
-    ls = left.select(*[F.col(a).alias(f"_l{i}") for i, (a, _) in enumerate(keys)], *[F.col(a).alias(f"_a{i}") for i, (a, _) in enumerate(pairs)], F.lit(True).alias("_in_l"))
-    rs = right.select(*[F.col(b).alias(f"_r{i}") for i, (_, b) in enumerate(keys)], *[F.col(b).alias(f"_b{i}") for i, (_, b) in enumerate(pairs)], F.lit(True).alias("_in_r"))
+    (lk, rk), (lv, rv) = _sided(keys, on_formats), _sided(pairs, formats)
+    ids = obs_ids or ()
+    side = lambda df, keys, raw, vals, p, ids: df.select(*[c.alias(f"_{p[0]}{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"_{p[1]}{i}") for i, c in enumerate(raw)], *[c.alias(f"_{p[2]}{i}") for i, c in enumerate(vals)], *[F.col(c).alias(f"_{p[3]}") for c in ids], F.lit(True).alias(f"_in_{p[0]}"))
+    ls, rs = side(left, lk, [a for a, _ in keys], lv, ("l", "u", "a", "li"), ids[:1]), side(right, rk, [b for _, b in keys], rv, ("r", "w", "b", "ri"), ids[1:])
     out = ls.join(rs, both(ls[f"_l{i}"].eqNullSafe(rs[f"_r{i}"]) for i in range(len(keys))), "full")
     there = F.col("_in_l") & F.col("_in_r")
-    key = [F.when(F.col("_in_l"), F.col(f"_l{i}")).otherwise(F.col(f"_r{i}")).alias(a) for i, (a, _) in enumerate(keys)]
-    return out.select(*key, *[F.when(there, eq(F.col(f"_a{i}"), F.col(f"_b{i}"))).alias(f"{a}=>{b}") for i, (a, b) in enumerate(pairs)])
+    key = [F.when(F.col("_in_l"), F.col(f"_u{i}")).otherwise(F.col(f"_w{i}")).alias(a) for i, (a, _) in enumerate(keys)]
+    seen = [F.col("_li").alias("obs_id_left"), F.col("_ri").alias("obs_id_right")] if ids else []
+    return out.select(*key, *seen, *[F.when(there, eq(F.col(f"_a{i}"), F.col(f"_b{i}"))).alias(f"{a}=>{b}") for i, (a, b) in enumerate(pairs)])
+
+
+def compare_rows(left, right, order_left, order_right, cols, eq=None, formats=None) -> DataFrame:
+    """As compare, with rows paired by their place in the stated orders; obs_id is that place."""
+    a, b = sets.row_ids(left, order_left, "obs_id"), sets.row_ids(right, order_right, "obs_id")
+    return compare(a, b, "obs_id", cols, eq, formats)
 
 
 def close_join(left, right, equal, key, order_left, order_right, direction="backward", border="missing", tol=None, allow_exact_match=True, right_key=None, op=None) -> DataFrame:
     """As-of join: each left row takes one right row, the nearest by ``key`` within equal keys.
 
     One union and one window pass for each direction that is needed; no pair is enumerated. Ties on the right: the last
-    for backward, the first for forward. nearest takes the upper one at equal distance. border: missing, nearest (the edge
+    for backward, the first for forward. Without equal keys the rows are dealt into ranges of ``key`` and one right row is carried over
+    each border. nearest takes the upper one at equal distance. border: missing, nearest (the edge
     row) or none (nothing outside the right side's range). tol is strict; a candidate that is equal while
-    ``allow_exact_match`` is false gives null. A hot group stays in one task, as its order is one sequence.
+    ``allow_exact_match`` is false gives null. A hot group of equal keys stays in one task, as its order is one sequence.
     """
     keys, rk = keys_of(equal) if equal else [], right_key or key
     rest = [c for c in right.columns if c not in [b for _, b in keys] and c != rk]
     names = dict(zip(rest, make_unique(rest, left.columns), strict=True))
     body = F.struct(F.col("_k"), *[F.col(f"_p_{c}") for c in rest])
-    ls = left.withColumn("_k", F.col(key)).withColumn("_side", F.lit(0)).withColumn("_o", F.struct(*order_left).cast("string"))
+    ls = left.withColumn("_k", F.col(key)).withColumn("_side", F.lit(0))
     for i, (a, _) in enumerate(keys):
         ls = ls.withColumn(f"_e{i}", F.col(a))
     rs = right.select(*[F.col(b).alias(f"_e{i}") for i, (_, b) in enumerate(keys)], F.col(rk).alias("_k"), F.lit(1).alias("_side"), *[F.col(c).alias(f"_p_{c}") for c in rest], *[F.col(c).alias(f"_s{i}") for i, c in enumerate(order_right)])
     both_ = ls.unionByName(rs, allowMissingColumns=True).withColumn("_st", F.when(F.col("_side") == 1, body))
-    part = W.partitionBy(*[f"_e{i}" for i in range(len(keys))])
-    ties = [F.col(f"_s{i}").asc_nulls_last() for i in range(len(order_right))]
+    if not keys:
+        both_ = sets.bucketed(both_, "_k", "_e0")
+    part = W.partitionBy(*[f"_e{i}" for i in range(max(1, len(keys)))])
+    seconds = [f"_s{i}" for i in range(len(order_right))]
+    ties = [F.col(c).asc_nulls_last() for c in seconds]
     back = F.last("_st", True).over(part.orderBy(F.col("_k").asc_nulls_last(), F.col("_side").desc(), *ties).rowsBetween(W.unboundedPreceding, 0))
     fwd = F.first("_st", True).over(part.orderBy(F.col("_k").asc_nulls_last(), F.col("_side").asc(), *ties).rowsBetween(0, W.unboundedFollowing))
+    if not keys:  # one row for each range of the key
+        first, last = F.struct(F.col("_k").isNull(), "_k", *[F.col(c) for c in seconds]), "_side = 1"
+        edges = both_.where(last).groupBy("_e0").agg(F.max_by("_st", first).alias("_top"), F.min_by("_st", first).alias("_bottom"))
+        edges = both_.select("_e0").distinct().join(edges, "_e0", "left")
+        seq = W.orderBy("_e0")
+        edges = edges.select(F.col("_e0").alias("_e1"), F.last("_top", True).over(seq.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_bottom", True).over(seq.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+        both_ = both_.join(edges, F.col("_e0") == F.col("_e1"))
+        back, fwd = F.coalesce(back, "_before"), F.coalesce(fwd, "_after")
     need_f = direction != "backward" or border != "missing"
     need_b = direction != "forward" or border != "missing"
     out = both_.withColumn("_P", back if need_b else F.lit(None)).withColumn("_N", fwd if need_f else F.lit(None)).where("_side = 0")
@@ -210,8 +313,11 @@ def close_join(left, right, equal, key, order_left, order_right, direction="back
 
 
 def with_obs_ids(left: DataFrame, right: DataFrame, on, left_id: str, right_id: str, how: str = "left", name: str = "obs_id") -> DataFrame:
-    """A join that keeps the row ids of both sides as <name>_left and <name>_right."""
+    """A join that keeps the row ids of both sides as <name>_left and <name>_right. how: left, inner, outer or close (on: arguments of close_join)."""
     ls, rs = left.withColumnRenamed(left_id, f"{name}_left"), right.withColumnRenamed(right_id, f"{name}_right")
+    if how == "close":
+        place = lambda order, old, new: [new if c == old else c for c in order]
+        return close_join(ls, rs, **on | {"order_left": place(on["order_left"], left_id, f"{name}_left"), "order_right": place(on["order_right"], right_id, f"{name}_right")})
     return {"left": left_join, "inner": inner_join, "outer": outer_join}[how](ls, rs, on)
 
 

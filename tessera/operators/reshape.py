@@ -2,44 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.sets import row_ids
+from tessera.selectors import make_unique
+
 
 def stack(df: DataFrame, ids: list[str], cols: list[str], variable="_variables_", value="_c1") -> DataFrame:
     """Long form: a row for each id row and column."""
     return df.unpivot(ids, cols, variable, value)
 
 
-def pivot(df: DataFrame, group: list[str], id_: str | list[str], value: str, values=None, default=None, rename=str, order=None) -> DataFrame:
-    """Wide form: ids become columns. A second row for a cell is an error; ``default`` fills absent cells only.
+#: Most columns that gathered ids may become.
+MOST = 10_000
 
-    Without ``values`` the ids are gathered (they become columns, so they are few), in the order of first appearance by
-    ``order``, else sorted.
+
+def _ids(df: DataFrame, id_, order=None, values=None) -> tuple[DataFrame, list[tuple[tuple, str]]]:
+    """df with _id, the ids as a struct of texts, and (values, name) of each id, in order of first appearance by ``order``, else sorted.
+
+    Several ids are named like (a, b); different tuples stay different columns, nulls too.
     """
-    ids = [id_] if isinstance(id_, str) else id_
-    key = F.col(ids[0]).cast("string") if len(ids) == 1 else F.concat_ws("_", *[F.col(c).cast("string") for c in ids])
-    df = df.withColumn("_id", key)
+    ids = [id_] if isinstance(id_, str) else list(id_)
+    df = df.withColumn("_id", F.struct(*[F.col(c).cast("string").alias(f"i{k}") for k, c in enumerate(ids)]))
     if values is None:
         first = F.min(F.struct(*order)) if order else F.min("_id")
-        values = [r["_id"] for r in df.groupBy("_id").agg(first.alias("f")).orderBy("f").collect()]
-    cell = df.groupBy(*group, "_id").agg(F.first(value).alias("_v"), F.count("*").alias("_n"))
+        got = df.groupBy("_id").agg(first.alias("f")).orderBy("f").limit(MOST + 1).collect()
+        if len(got) > MOST:
+            raise ValueError(f"more than {MOST} columns")
+        found = [tuple(r["_id"]) for r in got]
+    else:
+        found = [v if isinstance(v, tuple) else (v,) for v in values]
+        found = [tuple(None if x is None else str(x) for x in v) for v in found]
+    text = lambda v: "missing" if v is None else v
+    names = make_unique([text(v[0]) if len(v) == 1 else f"({', '.join(map(text, v))})" for v in found])
+    return df, list(zip(found, names, strict=True))
+
+
+def _is(value: tuple) -> Column:
+    return F.col("_id").eqNullSafe(F.struct(*[F.lit(x).cast("string").alias(f"i{k}") for k, x in enumerate(value)]))
+
+
+def _cells(df: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    """One row for each group and id; a second row for a cell is an error."""
+    cell = df.groupBy(*group, "_id").agg(F.first(F.struct(*cols)).alias("_v"), F.count("*").alias("_n"))
     checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("several values for one cell"))).otherwise(F.lit(1))
-    cell = cell.where(checked == 1)
-    aggs = []
-    for v in values:
-        hit = F.col("_id").eqNullSafe(F.lit(v))
-        x = F.max(F.when(hit, F.struct(F.col("_v").alias("v"))))  # a struct tells an absent cell from a null value
-        aggs.append((F.when(x.isNotNull(), x["v"]).otherwise(F.lit(default)) if default is not None else x["v"]).alias(rename(v)))
-    return cell.groupBy(*group).agg(*aggs)
+    return cell.where(checked == 1)
 
 
-def rows_to_columns(df: DataFrame, group: list[str], cols: list[str], order: list, width: int, variable="_variables_") -> DataFrame:
-    """The k-th row of a group becomes column _ck; a row for each group and column of ``cols``."""
+def pivot(df: DataFrame, group: list[str], id_: str | list[str], value: str, values=None, default=None, rename=str, order=None) -> DataFrame:
+    """Wide form: ids become columns. A second row for a cell is an error; ``default`` fills absent cells only.
+
+    Without ``values`` the ids are gathered (they become columns, so they are few).
+    """
+    return pivot_many(df, group, id_, [value], values, default, rename, order)
+
+
+def pivot_many(df: DataFrame, group: list[str], id_: str | list[str], cols: list[str], values=None, default=None, rename=str, order=None) -> DataFrame:
+    """Wide form of several value columns: id names for the first, name_1, name_2, ... for the next. Cells as in ``pivot``."""
+    df, ids = _ids(df, id_, order, values)
+    aggs, place = [], make_unique([rename(name) for _ in cols for _, name in ids])
+    for k, c in enumerate(cols):
+        for i, (v, _) in enumerate(ids):
+            x = F.max_by("_v", F.when(_is(v), F.lit(1)))  # a struct tells an absent cell from a null value
+            got = x[c]
+            aggs.append((F.when(x.isNotNull(), got).otherwise(F.lit(default)) if default is not None else got).alias(place[k * len(ids) + i]))
+    cells = _cells(df, group, cols)
+    return cells.groupBy(*group).agg(*aggs) if group else cells.agg(*aggs)
+
+
+def rows_to_columns(df: DataFrame, group: list[str], cols: list[str], order: list, width: int | None = None, variable="_variables_", default=None, rename=None) -> DataFrame:
+    """The k-th row of a group becomes column _ck; a row for each group and column of ``cols``.
+
+    As many columns as the largest group has rows, or ``width``: then a larger group is an error. ``default`` fills up shorter groups.
+    """
+    most = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if most > (width or MOST):
+        raise ValueError(f"a group has {most} rows, more than {width or MOST}")
+    width = width or most
+    rename = rename or (lambda k: f"_c{k}")
     rn = df.withColumn("_rn", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     long = rn.unpivot([*group, "_rn"], cols, variable, "_v")
-    return long.groupBy(*group, variable).agg(*[F.max(F.when(F.col("_rn") == k, F.col("_v"))).alias(f"_c{k}") for k in range(1, width + 1)])
+    cell = lambda k: F.max_by(F.struct("_v"), F.when(F.col("_rn") == k, F.lit(1)))
+    fill = lambda x: x["_v"] if default is None else F.when(x.isNotNull(), x["_v"]).otherwise(F.lit(default))
+    return long.groupBy(*group, variable).agg(*[fill(cell(k)).alias(rename(k)) for k in range(1, width + 1)])
 
 
 def flatten(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -65,13 +112,20 @@ def repeat(df: DataFrame, inner: int = 1, outer: int = 1, freq=None) -> DataFram
     return df.where(n > 0).withColumn("_r", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("_r")
 
 
-def transpose(df: DataFrame, cols: list[str], id_: str, values=None, variable="_variables_") -> DataFrame:
-    """Rows become columns, named by ``id_``; a row for each column of ``cols``."""
-    return pivot(df.unpivot([id_], cols, variable, "_value"), [variable], id_, "_value", values)
+def transpose(df: DataFrame, cols: list[str], id_: str | list[str] | None = None, values=None, variable="_variables_", order=None, rename=str, rename_row=None) -> DataFrame:
+    """Rows become columns, named by ``id_``, or _c1, _c2, ... by their place in ``order``; a row for each column of ``cols``.
 
-
-def pivot_many(df: DataFrame, group: list[str], id_: str, cols: list[str], values) -> DataFrame:
-    """Wide form of several value columns: id names for the first, name_1, name_2, ... for the next."""
-    hit = {v: F.col(id_).cast("string").eqNullSafe(F.lit(v)) for v in values}
-    aggs = [F.max(F.when(hit[v], F.col(c))).alias(v if k == 0 else f"{v}_{k}") for k, c in enumerate(cols) for v in values]
-    return df.groupBy(*group).agg(*aggs)
+    rename makes column names of ids, rename_row values of the variable column. Repeated ids are an error.
+    """
+    if id_ is None:
+        df, id_ = row_ids(df, order, "_place"), "_place"
+        n = df.count()
+        if n > MOST:
+            raise ValueError(f"more than {MOST} columns")
+        values, rename = list(range(1, n + 1)), (lambda k, f=rename: f(f"_c{k}"))
+    ids = [id_] if isinstance(id_, str) else list(id_)
+    out = pivot(df.unpivot(ids, cols, variable, "_value"), [variable], ids, "_value", values, rename=rename)
+    if rename_row:
+        names = F.create_map(*[F.lit(x) for c in cols for x in (c, rename_row(c))])
+        out = out.withColumn(variable, F.element_at(names, F.col(variable)))
+    return out

@@ -8,50 +8,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-def _bucket(x: Column, cuts: list[float], first: int = 0) -> Column:
-    """How many cuts lie below x: a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    m = len(cuts) // 2
-    return F.when(x > cuts[m], _bucket(x, cuts[m + 1 :], first + m + 1)).otherwise(_bucket(x, cuts[:m], first))
+from tessera.functions.nulls import isless
+from tessera.selectors import Not
 
+#: Rows of a bucket at least, and rows of the sample for each bucket.
+ROWS, SAMPLED = 1000, 50
 
-def bucketed(df: DataFrame, order: str, name: str = "_b", buckets: int | None = None) -> DataFrame:
-    """Rows dealt into ranges of a numeric or time column: all of bucket i come before those of i + 1, nulls last.
 
-    The cuts are quantiles, as many as there are shuffle partitions (64 at least), so no task gets a share that grows with the
-    table; rows of one and the same value stay together. Whole-table operators work inside buckets and then carry over one row
-    for each bucket.
-    """
-    n = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kind = df.schema[order].dataType.typeName()
-    x = F.col(order)
-    x = (x.cast("timestamp") if kind in ("timestamp_ntz", "date") else x).cast("double")
-    cuts = sorted(set(df.select(F.percentile_approx(x, [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []))
-    return df.withColumn(name, F.when(x.isNull(), n).otherwise(_bucket(x, cuts)))
+def order_keys(order, desc: bool = False) -> list[tuple[Column, bool]]:
+    """(column, descending) of an order: a name or Column, (name or Column, descending), or a list of such. ``desc`` turns all round."""
+    items = order if isinstance(order, list) else [order]
+    pairs = [x if isinstance(x, tuple) else (x, False) for x in items]
+    return [(F.col(c) if isinstance(c, str) else c, bool(d) != desc) for c, d in pairs]
 
 
-def _keys(order: str, more) -> list[Column]:
-    return [F.col(order).asc_nulls_last(), *more]
+def _bucket(after, cuts: list, first: int = 0) -> Column:
+    """How many cuts lie before the row: a balanced tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(after(cuts[m]), _bucket(after, cuts[m + 1 :], first + m + 1)).otherwise(_bucket(after, cuts[:m], first))
 
 
-def row_ids(df: DataFrame, order: str, name: str = "row_id", more=(), desc: bool = False) -> DataFrame:
-    """1-based positions by a numeric or time column without putting all rows into one task.
+def bucketed(df: DataFrame, order, name: str = "_b", buckets: int | None = None, desc: bool = False) -> DataFrame:
+    """Rows dealt into ranges of an order of columns of any sortable type: all of bucket i come before those of i + 1; null is the largest value.
 
-    A row's id is the rows of the buckets before plus its rank in its own. ``desc`` counts from the largest value (nulls first).
+    The cuts are taken from a sample (SAMPLED rows a bucket), for as many buckets as there are shuffle partitions (64 at least) if
+    the table has ROWS for each, so no task gets a share that grows with the table; rows of one and the same key stay together.
+    Whole-table operators work inside buckets and then carry over one row for each bucket.
     """
-    df = bucketed(df, order)
+    keys = order_keys(order, desc)
+    named = df.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)])
+    total = named.count()
+    n = buckets or min(max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), total // ROWS)
+    if n <= 1:
+        return df.withColumn(name, F.lit(0))
+    down = [d for _, d in keys]
+    some = named.sample(fraction=min(1.0, SAMPLED * n / max(1, total)), seed=7) if total > SAMPLED * n else named
+    some = some.orderBy(*[F.col(c).desc_nulls_first() if d else F.col(c).asc_nulls_last() for c, d in zip(named.columns, down, strict=True)]).limit(4 * SAMPLED * n)
+    rows = [tuple(r) for r in some.select(*[F.col(c).cast("string") for c in named.columns]).collect()]
+    cuts = list(dict.fromkeys(rows[i * len(rows) // n] for i in range(1, n))) if rows else []
+
+    def after(cut) -> Column:
+        """The cut comes before the row."""
+        out, same = F.lit(False), F.lit(True)
+        for (c, d), text, f in zip(keys, cut, named.schema, strict=True):
+            v = F.lit(text).cast(f.dataType)
+            out = out | (same & (isless(c, v) if d else isless(v, c)))
+            same = same & c.eqNullSafe(v)
+        return out
+
+    return df.withColumn(name, _bucket(after, cuts))
+
+
+def _keys(order, more=(), desc: bool = False) -> list[Column]:
+    return [c.desc_nulls_first() if d else c.asc_nulls_last() for c, d in order_keys(order, desc)] + list(more)
+
+
+def row_ids(df: DataFrame, order, name: str = "row_id", more=(), desc: bool = False) -> DataFrame:
+    """1-based positions in an order (see order_keys) without putting all rows into one task.
+
+    A row's id is the rows of the buckets before plus its rank in its own. ``desc`` turns the order round (nulls first).
+    """
+    df = bucketed(df, order, desc=desc)
     sizes = dict(df.groupBy("_b").count().collect())
     before, total = {}, 0
-    for b in sorted(sizes, reverse=desc):
+    for b in sorted(sizes):
         before[b], total = total, total + sizes[b]
     base = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.col("_b")) if before else F.lit(0)
-    keys = [F.col(order).desc_nulls_first(), *more] if desc else _keys(order, more)
-    rank = F.row_number().over(W.partitionBy("_b").orderBy(*keys))
+    rank = F.row_number().over(W.partitionBy("_b").orderBy(*_keys(order, more, desc)))
     return df.withColumn(name, (base + rank).cast("long")).drop("_b")
 
 
-def running(df: DataFrame, col: str, order: str, how: str = "sum", name: str | None = None, more=()) -> DataFrame:
+def running(df: DataFrame, col: str, order, how: str = "sum", name: str | None = None, more=()) -> DataFrame:
     """Cumulative sum, min or max over the whole table, in buckets; nulls carry the value before (leading ones stay null)."""
     f, join = {
         "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
@@ -67,7 +96,7 @@ def running(df: DataFrame, col: str, order: str, how: str = "sum", name: str | N
     return out.select(*[c for c in df.columns if c != "_b"], join(F.col("_before"), F.col("_own")).alias(name or f"cum{how}_{col}"))
 
 
-def runs(df: DataFrame, keys: list[Column], order: str, name: str = "run_id", more=()) -> DataFrame:
+def runs(df: DataFrame, keys: list[Column], order, name: str = "run_id", more=()) -> DataFrame:
     """1-based number of the run of equal keys (null equals null) that a row belongs to, in the order, in buckets."""
     k = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(keys)])
     df = bucketed(df, order).withColumn("_k", k)
@@ -86,7 +115,7 @@ def runs(df: DataFrame, keys: list[Column], order: str, name: str = "run_id", mo
     return out.select(*[c for c in df.columns if c not in ("_b", "_k", "_change", "_pos")], (F.col("_start") + F.col("_own")).alias(name))
 
 
-def is_sorted(df: DataFrame, rank: Column, order: str, more=(), rev: bool = False) -> bool:
+def is_sorted(df: DataFrame, rank: Column, order, more=(), rev: bool = False) -> bool:
     """Whether ``rank`` never falls (rises with ``rev``) along the order: inside buckets, then between one row of each."""
     df = bucketed(df, order).withColumn("_k", rank)
     at = W.partitionBy("_b").orderBy(*_keys(order, more))
@@ -97,26 +126,30 @@ def is_sorted(df: DataFrame, rank: Column, order: str, more=(), rev: bool = Fals
     return ends.withColumn("_gap", gap).where("_bad or _gap").isEmpty()
 
 
-def top_rows(df: DataFrame, group: list[str], col: str, k: int, order=(), rev: bool = False) -> DataFrame:
-    """Up to k rows with the largest (rev: smallest) non-null values of each group; groups are cut before they are exchanged."""
+def top_rows(df: DataFrame, group: list[str], col: str, k: int, order=(), rev: bool = False, all_null: bool = False) -> DataFrame:
+    """Up to k rows with the largest (rev: smallest) non-null values of each group; groups are cut before they are exchanged.
+
+    ``all_null`` keeps one row of a group that has nulls only.
+    """
     c = F.col(col)
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(c.asc() if rev else c.desc(), *order))
-    return df.where(c.isNotNull()).withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(c.asc_nulls_last() if rev else c.desc_nulls_last(), *order))
+    some = df if all_null else df.where(c.isNotNull())
+    return some.withColumn("_n", rank).where(F.col("_n") <= k).where(c.isNotNull() | (F.col("_n") == 1)).drop("_n")
 
 
-def slice_rows(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
+def slice_rows(df: DataFrame, order, first: int, last: int) -> DataFrame:
     """Rows at the 1-based positions first..last of the order."""
     return row_ids(df, order, "_row").where(F.col("_row").between(first, last)).drop("_row")
 
 
-def set_at(df: DataFrame, order: str, positions: list[int], **values) -> DataFrame:
+def set_at(df: DataFrame, order, positions: list[int], **values) -> DataFrame:
     """New values for cells of the rows at the 1-based positions of the order; types stay."""
     hit = F.col("_row").isin(positions)
     new = {c: F.when(hit, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
     return row_ids(df, order, "_row").withColumns(new).drop("_row")
 
 
-def pop(df: DataFrame, order: str, first: bool = False) -> DataFrame:
+def pop(df: DataFrame, order, first: bool = False) -> DataFrame:
     """The table without its last (or first) row in the order."""
     ids = row_ids(df, order, "_row", desc=not first)
     return ids.where("_row > 1").drop("_row")
@@ -124,7 +157,7 @@ def pop(df: DataFrame, order: str, first: bool = False) -> DataFrame:
 
 def table_hash(df: DataFrame) -> int:
     """A number that equal multisets of rows share, whatever their order."""
-    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    h = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns]).cast("decimal(38,0)")  # a hash skips nulls: their places count
     return int(df.agg(F.coalesce(F.sum(h) % F.lit(2**62), F.lit(0))).first()[0])
 
 
@@ -162,7 +195,7 @@ def vcat(dfs: list[DataFrame], cols="setequal", source: str | None = None) -> Da
     return out.select(*keep, *([source] if source else []))
 
 
-def hcat(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+def hcat(a: DataFrame, b: DataFrame, order_a, order_b) -> DataFrame:
     """Columns side by side by position."""
     from tessera.selectors import make_unique
 
@@ -175,21 +208,72 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def delete_at(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
-    return row_ids(df, order, "_row").where(~F.col("_row").isin(positions)).drop("_row")
+def _at(positions) -> Column:
+    """Whether a row (by _row) is at the positions: numbers from 1, one bool for each row, or Not of either."""
+    if isinstance(positions, Not):
+        return ~_at(positions.inner)
+    if isinstance(positions, range) and positions.step == 1:
+        return F.col("_row").between(positions.start, positions.stop - 1)
+    if positions and all(isinstance(x, bool) for x in positions):
+        positions = [i for i, x in enumerate(positions, 1) if x]
+    return F.col("_row").isin(list(positions))
+
 
+def delete_at(df: DataFrame, order, positions) -> DataFrame:
+    """Rows but those at the positions (numbers, bools, a range, or Not of these)."""
+    return row_ids(df, order, "_row").where(~_at(positions)).drop("_row")
 
-def append(df: DataFrame, rows: DataFrame, cols: str = "setequal") -> DataFrame:
-    """Rows added below; subset: missing columns become null; types follow df."""
-    have = dict(rows.dtypes)
-    if cols != "subset" and set(have) != set(df.columns):
+
+def take_rows(df: DataFrame, order, positions: list[int], name: str | None = None) -> DataFrame:
+    """The rows at these positions, once for each time they are named; ``name`` holds the place in the list."""
+    want = df.sparkSession.createDataFrame(list(enumerate(positions, 1)), "_place long, _at long")
+    got = row_ids(df, order, "_row").join(want, F.col("_row") == F.col("_at"))
+    return got.select(*df.columns, *([F.col("_place").alias(name)] if name else []))
+
+
+def set_block(df: DataFrame, order, positions, block: DataFrame, block_order) -> DataFrame:
+    """Cells of the rows at the positions taken from a block of as many rows, column by column of the same name; types stay."""
+    ids = row_ids(df, order, "_row").withColumn("_hit", _at(positions))
+    place = row_ids(ids.where("_hit").select("_row"), "_row", "_k")
+    new = row_ids(block.select(*[F.col(c).alias(f"_n_{c}") for c in block.columns]), [(f"_n_{c}", d) for c, d in _named(block_order)], "_k2")
+    new = place.join(new, F.col("_k") == F.col("_k2"), "left").withColumnRenamed("_row", "_row2").withColumn("_there", F.lit(True))
+    out = ids.join(new, F.col("_row") == F.col("_row2"), "left")
+    return out.select(*[F.when(F.col("_there"), F.col(f"_n_{f.name}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in block.columns else F.col(f.name) for f in df.schema])
+
+
+def set_column(df: DataFrame, order, name: str, values: list) -> DataFrame:
+    """A column, new or replaced, from one value for each row in the order."""
+    if df.count() != len(values):
+        raise ValueError("as many values as rows are needed")
+    got = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values, 1)], ["_at", "_value"])
+    out = row_ids(df, order, "_row").join(got, F.col("_row") == F.col("_at"), "left")
+    return out.select(*[F.col("_value").alias(name) if c == name else F.col(c) for c in df.columns], *([F.col("_value").alias(name)] * (name not in df.columns)))
+
+
+def _named(order) -> list[tuple[str, bool]]:
+    return [x if isinstance(x, tuple) else (x, False) for x in (order if isinstance(order, list) else [order])]
+
+
+def append(df: DataFrame, rows: DataFrame, cols="setequal", promote: bool = False) -> DataFrame:
+    """Rows added below. cols: setequal, orderequal, intersect (df's other columns go), subset (missing ones become null), union, or a list.
+
+    Types follow df, and a value that doesn't fit raises; with ``promote`` they are the common type of both.
+    """
+    have, names = dict(rows.dtypes), df.columns
+    if cols == "setequal" and set(have) != set(names) or cols == "orderequal" and rows.columns != names:
+        raise ValueError("columns differ")
+    if isinstance(cols, list) and not set(cols) <= set(names) & set(have):
         raise ValueError("columns differ")
-    return df.unionByName(rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes]))
+    keep = {"intersect": [c for c in names if c in have], "union": [*names, *(c for c in rows.columns if c not in names)]}.get(cols, names) if isinstance(cols, str) else names
+    kinds = dict(df.dtypes)
+    cell = lambda own, c: F.col(c) if c in own else F.lit(None)
+    typed = lambda c: cell(have, c).cast(kinds[c]) if c in kinds and not promote else cell(have, c)
+    return df.select(*[cell(kinds, c).alias(c) for c in keep]).unionByName(rows.select(*[typed(c).alias(c) for c in keep]))
 
 
-def resize(df: DataFrame, order: str, n: int) -> DataFrame:
+def resize(df: DataFrame, order, n: int) -> DataFrame:
     """The first n rows in the order; rows of nulls make up for what is missing."""
-    got = df.orderBy(order).limit(n)
+    got = df.orderBy(*_keys(order)).limit(n)
     short = n - got.count()
     if short <= 0:
         return got
@@ -197,13 +281,18 @@ def resize(df: DataFrame, order: str, n: int) -> DataFrame:
     return got.unionByName(nulls)
 
 
-def push(df: DataFrame, row: dict) -> DataFrame:
+def push(df: DataFrame, row, first: str | None = None) -> DataFrame:
+    """One row (dict, tuple or list) more. ``first`` names a numeric order column that gets a value below all others: the row comes first."""
+    row = row if isinstance(row, dict) else dict(zip(df.columns, row, strict=True))
+    if first:
+        low = df.agg(F.min(first)).first()[0]
+        row = row | {first: 0 if low is None else low - 1}
     one = df.sparkSession.createDataFrame([tuple(row.get(c) for c in df.columns)], df.schema)
     return df.unionByName(one)
 
 
-def sort_permutation(df: DataFrame, key: str, row_id: str, name: str = "position", more=(), desc: bool = False) -> DataFrame:
-    """Row ids with their positions in the order of a numeric or time column, ties by ``more`` and the row id."""
+def sort_permutation(df: DataFrame, key, row_id: str, name: str = "position", more=(), desc: bool = False) -> DataFrame:
+    """Row ids with their positions in an order (see order_keys), ties by ``more`` and the row id."""
     return row_ids(df, key, name, [*more, row_id], desc).select(row_id, name)
 
 
