@@ -223,9 +223,9 @@ def row_apply(cols, f, kind: str = "double") -> Column:
     """f(list of the row's values) by Python, in Arrow batches: for functions that columns can't express."""
     import pandas as pd
 
-    @F.pandas_udf(kind)
-    def run(rows: pd.DataFrame) -> pd.Series:
+    def run(rows):
         clean = rows.astype(object).where(rows.notna(), None)
         return pd.Series([f(list(r)) for r in clean.itertuples(index=False, name=None)])
 
-    return run(F.struct(*_c(cols)))
+    run.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(run, kind)(F.struct(*_c(cols)))
