@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from tessera.llm._common import buffer_of, read_table, small_batches
 
 HIDDEN = 16
-SPAN = 256
+SPAN = 480
 CONTEXT = 32
-#: Spans that run together.
-ROWS = 1024
+#: Spans that run together: so few that their products stay in a core's cache and on its thread.
+ROWS = 512
 #: Bounds of the training sample.
 DOCS_PER_LANG = 250
 PIECES, PIECE = 12, 96
@@ -87,6 +87,39 @@ class BiGru:
         y /= y.sum(2, keepdims=True)
         return y, (f, b, tf, tb)
 
+    def label(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """The probabilities alone, by steps (steps, rows, labels): no state is kept, only what it adds to the labels."""
+        h, steps, rows = self.h, x.shape[1], len(x)
+        cols, y = np.ascontiguousarray(x.T), np.empty((x.shape[1], rows, len(self.p["c"])), np.float32)
+        y[:] = self.p["c"]
+        whole, mask = live.all(0), np.ascontiguousarray(live.T, np.float32)[:, :, None]
+        half = np.full(3 * h, 0.5, np.float32)
+        half[2 * h :] = 1
+        a, zr, n = np.empty((rows, 3 * h), np.float32), np.empty((rows, 2 * h), np.float32), np.empty((rows, h), np.float32)
+        for d in "fb":
+            e, u, v, o = self.p[f"E{d}"] * half, self.p[f"U{d}"] * np.float32(0.5), self.p[f"V{d}"], self.p[f"O{d}"]
+            state = np.zeros((rows, h), np.float32)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                np.take(e, cols[t], 0, out=a, mode="clip")
+                np.matmul(state, u, out=zr)
+                zr += a[:, : 2 * h]
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= 0.5
+                np.matmul(zr[:, h:] * state, v, out=n)
+                n += a[:, 2 * h :]
+                np.tanh(n, out=n)
+                n -= state
+                n *= zr[:, :h]
+                if not whole[t]:
+                    n *= mask[t]
+                state += n
+                y[t] += state @ o
+        y -= y.max(2, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(2, keepdims=True)
+        return y
+
     def grads(self, x: np.ndarray, live: np.ndarray, lang: np.ndarray) -> dict[str, np.ndarray]:
         y, (f, b, tf, tb) = self.probs(x, live)
         y[np.arange(len(x)), :, lang] -= 1
@@ -147,9 +180,9 @@ def text_sums(net: BiGru, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         at = low[k][:, None] + np.arange(width)
         live = at < high[k][:, None]
         x = data[np.where(live, at, len(data) - 1)]
-        y = net.probs(x, live.astype(np.float32))[0]
+        y = net.label(x, live)
         mine = ((at >= first[k][:, None]) & (at < last[k][:, None]) & _LETTER_BYTE[x]).astype(np.float32)
-        sums = np.einsum("ntk,nt->nk", y, mine, optimize=True)
+        sums = np.einsum("tnk,nt->nk", y, mine)
         np.add.at(out, who[k], np.concatenate([sums, mine.sum(1, keepdims=True)], 1))
     return out
 

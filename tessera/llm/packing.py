@@ -5,7 +5,7 @@ one rest). Only the histogram of piece lengths, at most ``width`` numbers, reach
 placed longest first, each into the pattern with the least filled room that still holds it (the shortest
 pack), splitting pattern counts as they are used up. Patterns then become slots: a slot says which ranks of
 a length go to which sequences at which offset, and is found by bisection. Ranks within a length are dealt by
-buckets of a hash, about BUCKET_ROWS pieces each, with bucket offsets from their counts, so no task holds all
+buckets of a hash, each as large as the square root of the length's pieces, with bucket offsets from their counts, so no task holds all
 pieces of a length at any size.
 
 Edge cases: a null or empty text is a document of the end id alone; an empty table gives no pieces;
@@ -16,6 +16,7 @@ all of its input's and replaces none (its helpers live beside them in a struct).
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ from tessera.llm._common import read_table, small_batches, stage
 WIDTH = 2048
 END = 1
 CACHE = 500_000
-#: Rows of one bucket of a length, about.
-BUCKET_ROWS = 200_000
+#: Rows of one bucket of a length, about, or the square root of the length's rows where that is more.
+BUCKET_ROWS = 500
 #: How the file of a tokenizer must cut words for ``WordCache`` to take them one by one: these parts of it are compared.
 NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -177,10 +178,10 @@ def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """Add sequence_id and offset to a table with a ``length`` column (1..width). It is read four times: stage it first."""
     cols = pieces.columns
     histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most ``width`` rows
-    buckets = F.element_at(F.from_json(F.lit(str([-(-histogram.get(x, 1) // BUCKET_ROWS) for x in range(1, width + 1)])), "array<bigint>"), F.col("length").cast("int"))
+    buckets = F.element_at(F.from_json(F.lit(str([-(-n // max(BUCKET_ROWS, math.isqrt(n))) for n in (histogram.get(x, 1) for x in range(1, width + 1))])), "array<bigint>"), F.col("length").cast("int"))
     row = F.struct(*[f"`{c}`" for c in cols]).alias("_row")  # own columns can't clash with helpers
     keyed = pieces.select(row, "length", F.xxhash64(*[f"`{c}`" for c in cols]).alias("_h")).withColumn("_b", F.pmod("_h", buckets).cast("int"))
-    sizes = keyed.groupBy("length", "_b").count()  # a row for each BUCKET_ROWS pieces and length, not more than the pieces
+    sizes = keyed.groupBy("length", "_b").count()  # at most the square root of its pieces for each length
     before = F.sum("count").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("length", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
     slots: dict[int, list] = {}

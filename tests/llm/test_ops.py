@@ -355,6 +355,8 @@ def test_langid_sees_across_words_and_cuts_texts_without_loss():
     who, first, last, low, high = langid.spans_of(offs, 32, 16)
     covered = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])
     assert sorted(covered.tolist()) == list(range(len(data))) and (first - low <= 16).all() and (low >= offs[who]).all() and (high <= offs[who + 1]).all()
+    x, live = np.frombuffer(b"abc dea bc  bcd e cc", np.uint8).reshape(4, 5), np.arange(5) < np.array([[5], [3], [1], [4]])
+    assert np.allclose(net.label(x, live).transpose(1, 0, 2)[live], net.probs(x, live.astype(np.float32))[0][live], atol=1e-5)
     a, b = (langid.text_sums(net, np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"aaa bbb ccc", b"zzz bbb ccc"))
     x, y = (net.probs(np.frombuffer(t, np.uint8)[None], np.ones((1, 11), np.float32))[0][0, 4:7] for t in (b"aaa bbb ccc", b"zzz bbb ccc"))
     assert not np.allclose(x, y) and not np.allclose(a, b)  # the labels of a word depend on the words before it
