@@ -120,16 +120,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Takes links (a, b) of longs; returns (node, root) for every node that is not itself the smallest of
     its component. A round is two aggregations and joins on whole tables; the edges are staged each
-    round. Nothing is collected but a count and a checksum. Self links and repeats are allowed.
+    round. Nothing is collected but a count and a checksum. Self links and repeats are allowed. A hub's links are
+    split at run time: for that, the minima are exchanged anew (``anew``), so both sides of a join are plain exchanges.
     """
+    anew = F.col("u").bitwiseXOR(F.lit(0)).alias("u")  # the same values, but not known to be dealt by u already
     e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
     seen = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(anew, "m")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
+        near = large.join(low.select(anew, "m"), "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         new = stage(small.where("u != v").distinct(), "edges")
         state = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

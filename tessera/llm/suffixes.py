@@ -45,6 +45,7 @@ RUN = 1024
 GROUP = 1024
 #: Passages of a hot minimizer for each bucket of its windows, about.
 MEET = 64
+SPREAD = 1021
 BUFFER = 1 << 20
 
 
@@ -332,7 +333,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
             group: list[tuple[int, tuple]] = []
             for k, h in enumerate(held):
                 if not h[5] and (runs := _runs(hit[at : at + h[4]])):
-                    res.append((h[0], h[2], runs, h[1]))
+                    res.append((h[0], h[2], runs, h[2] % SPREAD))  # marks go on as they are: dealt out evenly
                 if h[6] > 1:
                     group.append((at, h))
                 at += len(h[3])
