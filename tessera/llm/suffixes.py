@@ -44,7 +44,7 @@ KMER = 32
 RUN = 1024
 GROUP = 1024
 #: Passages of a hot minimizer for each bucket of its windows, about.
-MEET = 64
+MEET = 16
 SPREAD = 1021
 BUFFER = 1 << 20
 
