@@ -1,4 +1,4 @@
-"""Joins. Keys that are null match null keys. Nothing is broadcast by hint: sizes decide at run time.
+"""Joins. Keys that are null match null keys. No data side is broadcast by hint: sizes decide at run time.
 
 ``on`` is a name, a list of names, or a list of names and (left, right) pairs.
 """
@@ -15,6 +15,9 @@ from tessera.functions.nulls import both, isle, isless
 from tessera.operators import sets
 from tessera.selectors import make_unique
 
+#: Rows of a group of equal as-of keys above which it is dealt into ranges.
+HOT = 1 << 20
+
 
 def keys_of(on) -> list[tuple[str, str]]:
     on = [on] if isinstance(on, str) or (isinstance(on, tuple) and len(on) == 2) else on
@@ -250,14 +253,20 @@ def compare_rows(left, right, order_left, order_right, cols, eq=None, formats=No
     return compare(a, b, "obs_id", cols, eq, formats)
 
 
+def _largest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: a count by key, added up before it is exchanged."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def close_join(left, right, equal, key, order_left, order_right, direction="backward", border="missing", tol=None, allow_exact_match=True, right_key=None, op=None) -> DataFrame:
     """As-of join: each left row takes one right row, the nearest by ``key`` within equal keys.
 
     One union and one window pass for each direction that is needed; no pair is enumerated. Ties on the right: the last
-    for backward, the first for forward. Without equal keys the rows are dealt into ranges of ``key`` and one right row is carried over
-    each border. nearest takes the upper one at equal distance. border: missing, nearest (the edge
+    for backward, the first for forward. Without equal keys, or where one group of them has more than HOT rows, the rows are dealt
+    into ranges of (equal keys, ``key``), and right rows are carried over the borders inside a group; rows of one and the same
+    (equal keys, ``key``) stay together. nearest takes the upper one at equal distance. border: missing, nearest (the edge
     row) or none (nothing outside the right side's range). tol is strict; a candidate that is equal while
-    ``allow_exact_match`` is false gives null. A hot group of equal keys stays in one task, as its order is one sequence.
+    ``allow_exact_match`` is false gives null.
     """
     keys, rk = keys_of(equal) if equal else [], right_key or key
     rest = [c for c in right.columns if c not in [b for _, b in keys] and c != rk]
@@ -268,20 +277,22 @@ def close_join(left, right, equal, key, order_left, order_right, direction="back
         ls = ls.withColumn(f"_e{i}", F.col(a))
     rs = right.select(*[F.col(b).alias(f"_e{i}") for i, (_, b) in enumerate(keys)], F.col(rk).alias("_k"), F.lit(1).alias("_side"), *[F.col(c).alias(f"_p_{c}") for c in rest], *[F.col(c).alias(f"_s{i}") for i, c in enumerate(order_right)])
     both_ = ls.unionByName(rs, allowMissingColumns=True).withColumn("_st", F.when(F.col("_side") == 1, body))
-    if not keys:
-        both_ = sets.bucketed(both_, "_k", "_e0")
-    part = W.partitionBy(*[f"_e{i}" for i in range(max(1, len(keys)))])
+    es = [f"_e{i}" for i in range(len(keys))]
+    ranged = not keys or _largest(both_, es) > HOT
+    if ranged:
+        both_ = sets.bucketed(both_, [*es, "_k"], "_range")
+    part = W.partitionBy(*(["_range"] if ranged else []), *es)
     seconds = [f"_s{i}" for i in range(len(order_right))]
     ties = [F.col(c).asc_nulls_last() for c in seconds]
     back = F.last("_st", True).over(part.orderBy(F.col("_k").asc_nulls_last(), F.col("_side").desc(), *ties).rowsBetween(W.unboundedPreceding, 0))
     fwd = F.first("_st", True).over(part.orderBy(F.col("_k").asc_nulls_last(), F.col("_side").asc(), *ties).rowsBetween(0, W.unboundedFollowing))
-    if not keys:  # one row for each range of the key
-        first, last = F.struct(F.col("_k").isNull(), "_k", *[F.col(c) for c in seconds]), "_side = 1"
-        edges = both_.where(last).groupBy("_e0").agg(F.max_by("_st", first).alias("_top"), F.min_by("_st", first).alias("_bottom"))
-        edges = both_.select("_e0").distinct().join(edges, "_e0", "left")
-        seq = W.orderBy("_e0")
-        edges = edges.select(F.col("_e0").alias("_e1"), F.last("_top", True).over(seq.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_bottom", True).over(seq.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-        both_ = both_.join(edges, F.col("_e0") == F.col("_e1"))
+    if ranged:  # groups that lie in several ranges: two rows at most for each range, so their broadcast is bounded
+        first = F.when(F.col("_side") == 1, F.struct(F.col("_k").isNull(), "_k", *[F.col(c) for c in seconds]))
+        edges = both_.groupBy("_range", *es).agg(F.max_by("_st", first).alias("_top"), F.min_by("_st", first).alias("_bottom"))
+        group, seq = W.partitionBy(*es), W.partitionBy(*es).orderBy("_range")
+        edges = edges.select(F.col("_range").alias("_range2"), *[F.col(e).alias(f"{e}2") for e in es], F.last("_top", True).over(seq.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_bottom", True).over(seq.rowsBetween(1, W.unboundedFollowing)).alias("_after"), F.count("*").over(group).alias("_ranges")).where("_ranges > 1")
+        same = both([F.col("_range") == F.col("_range2"), *[F.col(e).eqNullSafe(F.col(f"{e}2")) for e in es]])
+        both_ = both_.join(F.broadcast(edges), same, "left")
         back, fwd = F.coalesce(back, "_before"), F.coalesce(fwd, "_after")
     need_f = direction != "backward" or border != "missing"
     need_b = direction != "forward" or border != "missing"

@@ -87,6 +87,24 @@ def test_as_of_without_equal_keys(spark, small):
     assert get(direction="nearest") == {x: nearest(t) for x, t in left}
 
 
+def test_as_of_with_a_hot_group(spark, small, monkeypatch):
+    rng = random.Random(9)
+    key = lambda: rng.choice(["a", "a", "a", "a", "b", None])
+    left, right = ([(i, key(), rng.choice([None, *range(120)]) if i % 9 == 0 else rng.randrange(120)) for i in range(n)] for n in (150, 60))
+    right = [(i, g, t) for i, g, t in right if t is not None]
+    a, b = spark.createDataFrame(left, "l long, g string, t long"), spark.createDataFrame(right, "r long, g string, t long")
+    got = {}
+    for hot in (0, 1 << 20):
+        monkeypatch.setattr(J, "HOT", hot)
+        for k in ({}, {"direction": "forward"}, {"direction": "nearest", "tol": 5}, {"border": "none"}):
+            out = J.close_join(a, b, "g", "t", ["l"], ["r"], **k)
+            got[hot, str(k)] = sorted((r.l, r.r) for r in out.collect() if r.t is not None)
+            assert out.columns == ["l", "g", "t", "r"]
+    assert all(v == got[1 << 20, k] for (_, k), v in got.items())
+    back = lambda g, t: max(((u, r) for r, h, u in right if h == g and u <= t), default=(None, None))[1]
+    assert got[0, "{}"] == sorted((i, back(g, t)) for i, g, t in left if t is not None)
+
+
 @pytest.mark.parametrize("strict", [(False, False), (True, True)])
 def test_ranges_without_equal_keys(spark, strict):
     rng = random.Random(5)
