@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import aggs
+from tessera.functions import aggs, windows
 from tessera.functions.nulls import both, either, matches, sort_key, truth
 from tessera.operators import sets
 from tessera.selectors import Not, make_unique, resolve
@@ -396,9 +396,9 @@ class Frame:
 
         Specs come first: (cols, f) replaces each column by f(name); (cols, f, name) gives it another name, a callable one being
         name(column); (cols, f, [names]) splits the list that f(name) gives into columns. What f gives may again be a callable.
+        Without a group, the functions of ``windows`` are worked out in ranges of the order, so no task holds all rows.
         """
         df = self.df
-        made = lambda e: e(self.group, self.order) if callable(e) and not isinstance(e, Column) else e
         todo: list[tuple[str, object]] = []
         for sel, f, *rest in specs:
             for c in resolve(self.columns, sel):
@@ -407,11 +407,28 @@ class Frame:
                     todo += [(n, lambda g, o, f=f, c=c, i=i: F.get(f(c)(g, o) if callable(f(c)) and not isinstance(f(c), Column) else f(c), F.lit(i))) for i, n in enumerate(name)]
                 else:
                     todo.append((name(c) if callable(name) else name, f(c)))
+        whole, batch = windows.Whole(), []
+
+        def flush(df: DataFrame) -> DataFrame:
+            """One pass in ranges for all of a batch."""
+            df = sets.carried(df, list(self.order), whole.asked) if whole.asked else df
+            for n, made in batch:
+                df = df.withColumn(n, made)
+            return df.drop(*[x[0] for x in whole.asked])
+
         for n, e in [*todo, *exprs.items()]:
             if n in self.group:
                 raise ValueError("a grouping column can't be modified")
-            df = df.withColumn(n, made(e))
-        return self._new(df)
+            called = callable(e) and not isinstance(e, Column)
+            had = len(whole.asked)
+            made = e(self.group or whole, self.order) if called else e
+            if any(m in str(x[2]) for x in whole.asked[had:] for m, _ in batch):  # it may read what this batch makes
+                del whole.asked[had:]
+                df = flush(df)
+                whole, batch = windows.Whole(), []
+                made = e(whole, self.order)
+            batch.append((n, made))
+        return self._new(flush(df))
 
     def sum_all(self, cols=None) -> Frame:
         """Sums of columns, a row for each: (column, sum)."""

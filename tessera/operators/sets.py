@@ -82,18 +82,61 @@ def row_ids(df: DataFrame, order, name: str = "row_id", more=(), desc: bool = Fa
 
 def running(df: DataFrame, col: str, order, how: str = "sum", name: str | None = None, more=()) -> DataFrame:
     """Cumulative sum, min or max over the whole table, in buckets; nulls carry the value before (leading ones stay null)."""
-    f, join = {
-        "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
-        "min": (F.min, lambda a, b: F.least(a, b)),
-        "max": (F.max, lambda a, b: F.greatest(a, b)),
-    }[how]
-    df = bucketed(df, order)
-    # one row for each bucket: its number is bounded by the number of cuts
-    ends = df.groupBy("_b").agg(f(col).alias("_t"))
-    ends = ends.select(F.col("_b").alias("_b2"), f("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
-    own = f(col).over(W.partitionBy("_b").orderBy(*_keys(order, more)).rowsBetween(W.unboundedPreceding, 0))
-    out = df.withColumn("_own", own).join(ends, F.col("_b") == F.col("_b2"))
-    return out.select(*[c for c in df.columns if c != "_b"], join(F.col("_before"), F.col("_own")).alias(name or f"cum{how}_{col}"))
+    return carried(df, order, [(name or f"cum{how}_{col}", how, F.col(col), 1, None)], more)
+
+
+_FOLDS = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "prod": (F.product, lambda a, b: F.coalesce(a * b, a, b)),
+    "min": (F.min, lambda a, b: F.least(a, b)),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+}
+
+
+def carried(df: DataFrame, order, asked, more=()) -> DataFrame:
+    """df plus a column for each (name, how, value, k, default): a function over the whole table in the order, worked out in buckets.
+
+    how: sum, prod, min, max of the values so far; last of them (first of those to come) that is no null; lag or lead by k rows;
+    all: an aggregate of the table. Each bucket takes over what those before (behind) it hold: one value, or k for lag and lead.
+    Rows that tie in the order and in ``more`` come in any order.
+    """
+    own = df.columns
+    for name, how, value, *_ in asked:
+        if how == "all":
+            df = df.withColumn(name, df.agg(value).scalar())
+    names, asked = own + [x[0] for x in asked], [x for x in asked if x[1] != "all"]
+    if not asked:
+        return df.select(*names)
+    at = W.partitionBy("_b").orderBy(*_keys(order, more))
+    upto, rest = at.rowsBetween(W.unboundedPreceding, 0), at.rowsBetween(0, W.unboundedFollowing)
+    df = bucketed(df, order).withColumns({f"_x{i}": value for i, (_, _, value, _, _) in enumerate(asked)})
+    df = df.withColumns({"_r": F.row_number().over(at), "_n": F.count("*").over(W.partitionBy("_b"))})
+    seq = W.orderBy("_b")  # one row for each bucket: its number is bounded by the number of cuts
+    before, behind = seq.rowsBetween(W.unboundedPreceding, -1), seq.rowsBetween(1, W.unboundedFollowing)
+    ends, carry, out = [], [], []
+    r, n = F.col("_r"), F.col("_n")
+    for i, (name, how, _, k, default) in enumerate(asked):
+        x, e, c = F.col(f"_x{i}"), F.col(f"_e{i}"), F.col(f"_c{i}")
+        some = lambda near, x=x: F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("_r", x.alias("x"))))), lambda s: s["x"])
+        if how in _FOLDS:
+            f, join = _FOLDS[how]
+            end, taken, got = f(x), f(e).over(before), join(c, f(x).over(upto))
+        elif how == "last":
+            end, taken, got = F.max_by(x, F.when(x.isNotNull(), r)), F.last(e, True).over(before), F.coalesce(F.last(x, True).over(upto), c)
+        elif how == "first":
+            end, taken, got = F.min_by(x, F.when(x.isNotNull(), r)), F.first(e, True).over(behind), F.coalesce(F.first(x, True).over(rest), c)
+        elif how == "lag":  # every bucket here has a row, so the k buckets next to one hold the k rows next to it
+            end, taken = some(r > n - k), F.flatten(F.collect_list(e).over(seq.rowsBetween(-max(k, 1), -1)))
+            got = F.when(r > k, F.lag(x, k).over(at)).when(F.size(c) > k - r, F.try_element_at(c, r - 1 - k)).otherwise(F.lit(default))
+        else:
+            end, taken = some(r <= k), F.flatten(F.collect_list(e).over(seq.rowsBetween(1, max(k, 1))))
+            got = F.when(n - r >= k, F.lead(x, k).over(at)).when(F.size(c) >= k - n + r, F.try_element_at(c, (k - n + r).cast("int"))).otherwise(F.lit(default))
+        ends.append(end.alias(f"_e{i}"))
+        carry.append(taken.alias(f"_c{i}"))
+        out.append(got.alias(name))
+    ends = df.groupBy("_b").agg(*ends).select(F.col("_b").alias("_b2"), *carry)
+    joined = df.join(ends, F.col("_b") == F.col("_b2"))
+    return joined.select(*own, *[F.col(f"`{x}`") for x in names if x not in own and x not in {a[0] for a in asked}], *out).select(*names)
 
 
 def runs(df: DataFrame, keys: list[Column], order, name: str = "run_id", more=()) -> DataFrame:

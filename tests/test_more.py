@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.frame import Frame, byrow
 from tessera.functions import aggs as A
 from tessera.functions import rowops as R
+from tessera.functions import windows as V
 from tessera.operators import joins as J
 from tessera.operators import reshape as T
 from tessera.operators import sets as S
@@ -68,6 +69,40 @@ def test_ranges_carry_over(spark, small):
     assert not Frame(df).with_order("i").is_sorted("i", rev=True)
 
 
+WHOLE = {
+    "sum": lambda g, o: V.cumsum("v", group=g, order=o),
+    "kept": lambda g, o: V.cumsum("v", missings="skip", group=g, order=o),
+    "low": lambda g, o: V.cummin("v", group=g, order=o),
+    "high": lambda g, o: V.cummax("v", group=g, order=o) * 2 + V.cumsum("k", group=g, order=o),
+    "prod": lambda g, o: V.cumprod(F.lit(1.0) + F.col("v") / 100, group=g, order=o),
+    "fill": lambda g, o: V.ffill("s", group=g, order=o),
+    "back": lambda g, o: V.bfill("s", group=g, order=o),
+    "two": lambda g, o: V.bfill("v", by=lambda x: x.isNull() | (x < 3), group=g, order=o),
+    "lag1": lambda g, o: V.lag("v", group=g, order=o),
+    "lag9": lambda g, o: V.lag("v", 9, -1, group=g, order=o),
+    "lead1": lambda g, o: V.lead("s", group=g, order=o),
+    "lead9": lambda g, o: V.lead("v", 9, -1, group=g, order=o),
+    "minus": lambda g, o: V.lag("v", -2, group=g, order=o),
+    "same": lambda g, o: V.lag("v", 0, group=g, order=o),
+    "std": lambda g, o: V.stdze("k", group=g),
+    "scale": lambda g, o: V.rescale("k", group=g),
+}
+
+
+@pytest.mark.parametrize("n", [0, 1, 120])
+def test_whole_tables_in_ranges(spark, small, n):
+    """In ranges as in one window over all rows."""
+    df = table(spark, 120)[0].where(F.col("i") < n).withColumn("v", F.when(F.col("i") % 4 != 0, F.col("k")))
+    got = Frame(df).with_order("s", "i").modify(**WHOLE).df
+    at = [F.col("s").asc_nulls_last(), F.col("i")]
+    want = df.select("*", *[f((), at).alias(c) for c, f in WHOLE.items()])
+    again = Frame(df).with_order("i").modify(w=lambda g, o: V.cumsum("k", group=g, order=o), z=lambda g, o: V.lag("w", group=g, order=o)).df
+    assert [r.z for r in again.orderBy("i").collect()] == [None, *(r.w for r in again.orderBy("i").collect())][:n]
+    assert got.columns == want.columns
+    flat = lambda d: sorted([tuple(round(x, 6) if isinstance(x, float) and x == x else repr(x) for x in r) for r in d.collect()], key=repr)
+    assert flat(got) == flat(want)
+
+
 def test_as_of_without_equal_keys(spark, small):
     rng = random.Random(3)
     left, right = [(i, rng.randrange(200)) for i in range(80)], [(i, rng.randrange(200)) for i in range(60)]
