@@ -12,7 +12,7 @@ from tessera.functions.nulls import isless
 from tessera.selectors import Not
 
 #: Rows of a bucket at least, and rows of the sample for each bucket.
-ROWS, SAMPLED = 1000, 50
+ROWS, SAMPLED = 100_000, 50
 
 
 def order_keys(order, desc: bool = False) -> list[tuple[Column, bool]]:
