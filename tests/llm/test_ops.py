@@ -587,6 +587,25 @@ def test_media(spark):
     assert media.near_copies(spark.createDataFrame([], "id long, media binary")).count() == 0
 
 
+@pytest.mark.parametrize("exact", [media.EXACT, 0])
+def test_media_links_of_groups(spark, exact):
+    """Every row's links and component against brute force: near copies beside each other, exact copies, an id of two images."""
+    rng = np.random.default_rng(8)
+    base = [media.decode(x) for x in media.render(rng.normal(size=(12, 64)))]
+    rows = [(i, pgm(x)) for i, x in enumerate(base)]
+    rows += [(100 + i, pgm(base[0] + rng.normal(0, 4, base[0].shape))) for i in range(15)] + [(200, rows[0][1]), (7, pgm(base[11] + 9)), (2, rows[3][1])]
+    told = [media.describe(media.decode(x)[None])[0] for _, x in rows]
+    n = len(rows)
+    near = np.array([[rows[i][1] == rows[j][1] or media.agree(*told[i], *told[j]) for j in range(n)] for i in range(n)])
+    own = np.array([[rows[i][0] == rows[j][0] for j in range(n)] for i in range(n)])
+    root = np.arange(n)
+    for _ in range(n):
+        root = np.where(near | own, root, n).min(1)
+    least = {r: min(rows[i][0] for i in range(n) if root[i] == r) for r in set(root)}
+    got = media.near_copies(spark.createDataFrame(rows, "id long, media binary"), exact=exact).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in got) == sorted((rows[i][0], int(near[i].sum()) - 1, least[root[i]]) for i in range(n))
+
+
 def test_media_png_filters():
     """Each line filter against pixels made forwards."""
     import struct
