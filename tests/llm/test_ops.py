@@ -606,6 +606,41 @@ def test_media_links_of_groups(spark, exact):
     assert sorted((r.id, r.n_links, r.component_id) for r in got) == sorted((rows[i][0], int(near[i].sum()) - 1, least[root[i]]) for i in range(n))
 
 
+def test_media_candidates_of_larger_tables(spark):
+    """Keys tell what they do among all images, whatever block holds them; unrelated candidates are a smaller share of more images, edited copies stay."""
+    rng, share = np.random.default_rng(3), {}
+    images = [media.decode(x) for x in media.render(rng.normal(size=(6000, 64)))]
+    edited = [np.clip(x + rng.normal(0, 10, x.shape), 0, 255).astype(np.uint8).astype(np.float32) for x in images[:100]]
+    told = [d for lo in range(0, 6100, 50) for d in media.describe(np.stack((images + edited)[lo : lo + 50]))]
+    copies = [i for i in range(100) if media.agree(*told[i], *told[6000 + i])]
+    assert len(copies) > 90
+    keys = [np.unique(media.table_keys(d, media.WIDTH).view(np.uint64) & np.uint64(0xFFFFFFFF)) for _, d in told]
+    for n in (1500, 6000):
+        ids = [*range(n), *range(6000, 6100)]
+        rows = spark.createDataFrame([(i % 4, i, told[i][1].tobytes()) for i in ids], "block long, node long, descs binary")
+        _, at, held = np.unique(np.concatenate([keys[i] for i in ids]), return_inverse=True, return_counts=True)
+        owner = np.repeat(ids, [len(keys[i]) for i in ids])
+        bits = np.rint(8 * np.maximum(media.LEAST, np.log2(len(ids) / held)))[at]
+        some = held[at] > 1
+        want = collections.Counter(zip((owner[some] % 4).tolist(), owner[some].tolist(), np.concatenate([keys[i] for i in ids])[some].tolist(), bits[some].tolist(), strict=True))
+        got = collections.Counter()
+        for r in media._rarity(rows, len(ids), 3).collect():
+            for x in r.keyed:
+                parts = (np.frombuffer(x[c], t).tolist() for c, t in (("nodes", np.int64), ("keys", np.uint32), ("told", np.uint8)))
+                got.update((r.block, *row) for row in zip(*parts, strict=True))
+        assert got == want
+        # Two blocks: the images, and their edited copies with others.
+        blocks, z = [], np.zeros(1000, np.int64)
+        for held_by in (range(1000), [*range(500, 1400), *range(6000, 6100)]):
+            place = {i: k for k, i in enumerate(held_by)}
+            keyed = sorted((key << 32 | place[node], eighths) for _, node, key, eighths in want if node in place)
+            blocks.append(media.Block(z, z, z, z, None, None, np.array([k for k, _ in keyed], np.uint64), np.array([t for _, t in keyed], np.uint8)))
+        some = media.shared_bits(*blocks) >= media.least_bits(len(ids))
+        assert np.mean([some[i, 900 + i] for i in copies]) >= 0.98
+        share[n] = some[:500, :900].mean()
+    assert share[6000] < 0.85 * share[1500]
+
+
 def test_media_png_filters():
     """Each line filter against pixels made forwards."""
     import struct
