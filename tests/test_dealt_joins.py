@@ -31,7 +31,9 @@ def tasks(df):
 def test_dealt_equi_joins_match_brute_force(small, sides):
     a, b, left, right = sides
     inner = [(k, x, y) for k, x in a for h, y in b if k == h]
+    alone = [(3, 1, None)]
     assert rows(J.inner_join(left, right, "k")) == sorted(inner, key=repr)
+    assert rows(J.left_join(left, right, "k")) == sorted(inner + alone, key=repr)
     wide = right.withColumn("k", F.col("k").cast("long"))
     assert rows(J.inner_join(left, wide, "k")) == sorted(inner, key=repr)
     by = {"left": {"k": lambda c: c % 2}, "right": {"k": lambda c: c % 2}}
@@ -42,7 +44,7 @@ def test_dealt_equi_joins_match_brute_force(small, sides):
 def test_tasks_of_a_join_follow_its_pairs(small, sides):
     left, right = sides[2].coalesce(1), sides[3].coalesce(1)
     pairs = 40 * 25 + 30 * 9 + 70
-    for how in (J.inner_join,):
+    for how in (J.inner_join, J.left_join):
         out = how(left, right, "k")
         sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
         assert tasks(out) >= pairs // J.PAIRS and max(sizes) <= 6 * J.PAIRS
