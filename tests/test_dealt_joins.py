@@ -50,6 +50,13 @@ def test_tasks_of_a_join_follow_its_pairs(small, sides):
         assert tasks(out) >= pairs // J.PAIRS and max(sizes) <= 6 * J.PAIRS
 
 
+def test_flags_of_several_matches_without_exchanging_pairs(small, sides):
+    left, right = sides[2], sides[3]
+    assert rows(J.left_join_matches(left, right, "k", "x")) == rows(J.with_multiple_match(J.left_join(left, right, "k"), "x"))
+    one = right.where("k = 2 and y = 7")
+    assert rows(J.left_join_matches(left, one, "k", "x")) == rows(J.with_multiple_match(J.left_join(left, one, "k"), "x"))
+
+
 def test_grid_pieces_keep_to_their_pairs():
     for n, m in ((1, 1 << 30), (1 << 30, 1), (3, 10**7), (10**7, 3), (10**6, 10**6), (2500, 2500), (900, 700)):
         a, b = J._grid(n, m)
