@@ -31,20 +31,26 @@ def tasks(df):
 def test_dealt_equi_joins_match_brute_force(small, sides):
     a, b, left, right = sides
     inner = [(k, x, y) for k, x in a for h, y in b if k == h]
-    alone = [(3, 1, None)]
+    alone, other = [(3, 1, None)], [(4, None, 1)]
     assert rows(J.inner_join(left, right, "k")) == sorted(inner, key=repr)
     assert rows(J.left_join(left, right, "k")) == sorted(inner + alone, key=repr)
+    got = rows(J.outer_join(left, right, "k", source="s"))
+    assert got == sorted([*[(*r, "both") for r in inner], *[(*r, "left") for r in alone], *[(*r, "right") for r in other]], key=repr)
+    assert rows(J.with_obs_ids(left, right, "k", "x", "y")) == sorted(inner + alone, key=repr)
+    assert len(rows(J.with_obs_ids(left, right, "k", "x", "y", "outer"))) == len(got)
     wide = right.withColumn("k", F.col("k").cast("long"))
     assert rows(J.inner_join(left, wide, "k")) == sorted(inner, key=repr)
     by = {"left": {"k": lambda c: c % 2}, "right": {"k": lambda c: c % 2}}
     odd = lambda k: None if k is None else k % 2
     assert len(rows(J.inner_join(left, right, "k", by))) == sum(odd(k) == odd(h) for k, _ in a for h, _ in b)
+    got = rows(J.compare(left, right, "k", [("x", "y")]))
+    assert got == sorted([*[(k, x == y) for k, x, y in inner], (3, None), (4, None)], key=repr)
 
 
 def test_tasks_of_a_join_follow_its_pairs(small, sides):
     left, right = sides[2].coalesce(1), sides[3].coalesce(1)
     pairs = 40 * 25 + 30 * 9 + 70
-    for how in (J.inner_join, J.left_join):
+    for how in (J.inner_join, J.left_join, J.outer_join):
         out = how(left, right, "k")
         sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
         assert tasks(out) >= pairs // J.PAIRS and max(sizes) <= 6 * J.PAIRS
