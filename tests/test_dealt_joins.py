@@ -56,6 +56,13 @@ def test_tasks_of_a_join_follow_its_pairs(small, sides):
         assert tasks(out) >= pairs // J.PAIRS and max(sizes) <= 6 * J.PAIRS
 
 
+def test_ids_of_a_dealt_join(small, sides):
+    a, b, left, right = sides
+    out = J.with_obs_ids(left.coalesce(1), right.coalesce(1), "k", "x", "y")
+    assert tasks(out) >= sum(k == h for k, _ in a for h, _ in b) // J.PAIRS
+    assert rows(out.select("k", "obs_id_left", "obs_id_right")) == rows(J.left_join(left, right, "k"))
+
+
 def test_flags_of_several_matches_without_exchanging_pairs(small, sides):
     left, right = sides[2], sides[3]
     assert rows(J.left_join_matches(left, right, "k", "x")) == rows(J.with_multiple_match(J.left_join(left, right, "k"), "x"))
