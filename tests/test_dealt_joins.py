@@ -70,6 +70,18 @@ def test_flags_of_several_matches_without_exchanging_pairs(small, sides):
     assert rows(J.left_join_matches(left, one, "k", "x")) == rows(J.with_multiple_match(J.left_join(left, one, "k"), "x"))
 
 
+@pytest.mark.parametrize("ends", [("lo", "hi")])
+def test_dealt_range_joins_match_brute_force(spark, small, ends):
+    pts, spans = [(i, float(i % 50)) for i in range(120)], [(i, float(i % 7), float(i % 7 + i % 30)) for i in range(60)]
+    left, right = spark.createDataFrame(pts, "p int, t double").coalesce(1), spark.createDataFrame(spans, "r int, lo double, hi double").coalesce(1)
+    start, end = ends
+    want = sorted((p, r) for p, t in pts for r, lo, hi in spans if (not start or lo <= t) and (not end or t < hi))
+    out = J.range_join(left, right, None, "t", start, end, (False, True)).select("p", "r")
+    assert sorted(tuple(x) for x in out.collect()) == want
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= len(want) // J.PAIRS and max(sizes) <= 6 * J.PAIRS
+
+
 def test_grid_pieces_keep_to_their_pairs():
     for n, m in ((1, 1 << 30), (1 << 30, 1), (3, 10**7), (10**7, 3), (10**6, 10**6), (2500, 2500), (900, 700)):
         a, b = J._grid(n, m)
