@@ -70,7 +70,7 @@ def test_flags_of_several_matches_without_exchanging_pairs(small, sides):
     assert rows(J.left_join_matches(left, one, "k", "x")) == rows(J.with_multiple_match(J.left_join(left, one, "k"), "x"))
 
 
-@pytest.mark.parametrize("ends", [("lo", "hi")])
+@pytest.mark.parametrize("ends", [("lo", "hi"), (None, "hi"), ("lo", None)])
 def test_dealt_range_joins_match_brute_force(spark, small, ends):
     pts, spans = [(i, float(i % 50)) for i in range(120)], [(i, float(i % 7), float(i % 7 + i % 30)) for i in range(60)]
     left, right = spark.createDataFrame(pts, "p int, t double").coalesce(1), spark.createDataFrame(spans, "r int, lo double, hi double").coalesce(1)
