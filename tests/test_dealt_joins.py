@@ -86,3 +86,10 @@ def test_grid_pieces_keep_to_their_pairs():
     for n, m in ((1, 1 << 30), (1 << 30, 1), (3, 10**7), (10**7, 3), (10**6, 10**6), (2500, 2500), (900, 700)):
         a, b = J._grid(n, m)
         assert -(-n // a) * -(-m // b) <= 2 * J.PAIRS and n * b + m * a <= max(n + m, n * m // 200) * 2
+
+
+@pytest.mark.parametrize("key", ["make_ym_interval(0, id div 50)", "make_dt_interval(0, 0, 0, id div 50)", "timestamp_seconds(id div 50)", "decimal(id div 50)", "named_struct('a', id div 50)", "cast(nullif(id div 50, 1) as double)"])
+def test_dealt_keys_of_many_types(spark, small, key):
+    left, right = spark.range(100).selectExpr(f"{key} as k", "id as x"), spark.range(100).selectExpr(f"{key} as k", "id as y")
+    got = sorted(tuple(r) for r in J.inner_join(left, right, "k").select("x", "y").collect())
+    assert got == sorted((x, y) for x in range(100) for y in range(100) if x // 50 == y // 50)
